@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,23 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: columnar and compressed, so smaller than a checkpoint. It is
+    removed when the driver ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext._jsc.sc()
+    path = f"{context.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended first; the cluster clears its folder
+        pass
