@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from quantloom.llm.leak import leaked_passages, without_passages
 from quantloom.llm.linegraph import repeated_lines, without_repeated_lines
 from quantloom.llm.mixture import mix
+from quantloom.llm.template import furniture_lines, main_body
 from quantloom.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture_lines(table(spark, d, "corpus_files"), table(spark, d, "corpus_index"))
+
+
+def p2_main_body(spark: SparkSession, d: str) -> DataFrame:
+    """What the removal of the sites' templates leaves of each page."""
+    body = main_body(table(spark, d, "corpus_files"), table(spark, d, "corpus_index"))
+    return body.select("file", F.col("n_removed").cast("bigint").alias("n_removed"), F.length("body_text").cast("bigint").alias("n_chars"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "corpus_files"), table(spark, d, "corpus_index")).select("file", "line_no")
 
@@ -45,4 +56,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares)}
