@@ -9,6 +9,7 @@ from quantloom.llm.leak import leaked_passages, without_passages
 from quantloom.llm.linegraph import repeated_lines, without_repeated_lines
 from quantloom.llm.mixture import mix
 from quantloom.llm.template import furniture_lines, main_body
+from quantloom.llm.textstats import not_prose, text_statistics
 from quantloom.session import table
 
 
@@ -56,4 +57,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(table(spark, d, "documents"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(table(spark, d, "documents")).select("doc_id", "n_words", "n_lines", "mean_word_length", "prose_share", "failed", "shape")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_statistics)}
