@@ -1,6 +1,7 @@
 """All queries of the core and their SQL."""
 
-from quantloom.plans import prepared
+from quantloom.plans import prepared, score_queries, series_queries
 
-QUERIES = {**prepared.QUERIES}
-ORACLES: dict[str, str] = {}
+_PARTS = (score_queries, series_queries, prepared)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
