@@ -8,9 +8,8 @@ are the boilerplate blocks, and every occurrence of their lines is taken out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quantloom.llm.lines import file_sources, letters
 from quantloom.session import cut_lineage, written
@@ -19,26 +18,21 @@ from quantloom.session import cut_lineage, written
 BROADCAST_NODES = 500_000
 
 
-def _node() -> Column:
-    """128 bits of (source, letters of the line)."""
-    return F.struct(F.xxhash64("source", "letters").alias("a"), F.xxhash64("letters", "source", F.lit(1)).alias("b")).alias("node")
+def _at_hand(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
 
-def _sourced(files: DataFrame, index: DataFrame) -> DataFrame:
-    texts = files.select("file", F.split("body_text", "\n", -1).alias("lines")).where("file is not null and lines is not null")
-    return texts.join(file_sources(index).where("source is not null"), "file")
+def _hashed(files: DataFrame, index: DataFrame, min_letters: int) -> DataFrame:
+    """Rows (file, nodes), the listed files with a source: for each line in order its node, NULL where it doesn't count.
 
-
-def _places(files: DataFrame, index: DataFrame, min_letters: int) -> DataFrame:
-    """Rows (file, source, line_no, node): the lines that count, of listed files with a source."""
-    rows = _sourced(files, index).select("file", "source", F.posexplode("lines").alias("i", "line")).withColumn("letters", letters(F.col("line")))
-    return rows.where(F.length("letters") >= min_letters).select("file", "source", (F.col("i") + 1).cast("bigint").alias("line_no"), _node())
-
-
-def _once_a_file(files: DataFrame, index: DataFrame, min_letters: int) -> DataFrame:
-    """Rows (file, node), one for each different line of a row of ``files``: made distinct in the row, without a shuffle."""
-    rows = _sourced(files, index).select("file", "source", F.explode(F.array_distinct(F.transform("lines", letters))).alias("letters"))
-    return rows.where(F.length("letters") >= min_letters).select("file", _node())
+    A node is a 64-bit hash of source and letters, so that two of n different lines share one with a chance of n^2
+    in 2^65. Only hashes are joined, shuffled and written, never texts.
+    """
+    sources = cut_lineage(file_sources(index).where("source is not null"))
+    keys = F.transform(F.split("body_text", "\n", -1), letters)
+    hashes = F.transform(keys, lambda k: F.when(F.length(k) >= min_letters, F.xxhash64(k)))
+    rows = files.select("file", hashes.alias("hashes")).where("file is not null and hashes is not null").join(_at_hand(sources), "file")
+    return written(rows.select("file", F.transform("hashes", lambda h: F.when(h.isNotNull(), F.xxhash64("source", h))).alias("nodes")))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -48,10 +42,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -
     about log L rounds. Each round is checkpointed; no component is ever gathered in a task or on the driver.
     """
     both = cut_lineage(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("block"))
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("block")))
     if both.isEmpty():
         return labels
-    labels = cut_lineage(labels)
     for _ in range(rounds):
         near = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("block").alias("offer"))
         spread = labels.join(near, labels["node"] == near["x"], "left").select("node", F.col("block").alias("was"), F.least("block", "offer").alias("block"))
@@ -65,8 +58,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def repeated_lines(files: DataFrame, index: DataFrame, min_files: int = 6, min_letters: int = 12, blocks: bool = True) -> DataFrame:
-    """Rows (file, source, line_no, node, block): every place of a line that stands in at least ``min_files``
+def repeated_lines(files: DataFrame, index: DataFrame, min_files: int = 6, min_letters: int = 12) -> DataFrame:
+    """Rows (file, line_no, node, block): every place of a line that stands in at least ``min_files``
     different files of its source.
 
     Lines are the same if their letters are, ignoring case; those with fewer than ``min_letters`` letters don't count.
@@ -79,29 +72,34 @@ def repeated_lines(files: DataFrame, index: DataFrame, min_files: int = 6, min_l
     files sends one partial count a task. The join back has one row a kept node on its right side; AQE splits a
     hot node's rows or broadcasts the nodes when their measured size allows.
     """
-    rows = _places(files, index, min_letters)
-    kept = cut_lineage(_supports(_once_a_file(files, index, min_letters), files, min_files))
-    small = kept.count() <= BROADCAST_NODES
-    at_hand = F.broadcast if small else (lambda df: df)
-    places = rows.join(at_hand(kept.select("node")), "node")
-    if not blocks:
-        return places.withColumn("block", F.col("node"))
-    places = written(places.select("file", "source", "line_no", "node"))
-    by = Window.partitionBy("file").orderBy("line_no")
-    steps = places.select("file", "node", F.lead("node").over(by).alias("next")).where("next is not null and next != node")
-    edges = steps.distinct().groupBy("node", "next").count().where(F.col("count") >= min_files)
-    members = connected_components(kept.select("node"), edges.select(F.col("node").alias("x"), F.col("next").alias("y")))
-    return places.join(at_hand(members), "node")
-
-
-def _supports(rows: DataFrame, files: DataFrame, min_files: int) -> DataFrame:
-    """Nodes (node, n_files) in at least ``min_files`` files, from rows (file, node) distinct in each row of ``files``.
-    Only where a file occurs in two rows must they be made distinct across rows."""
-    again = files.where("file is not null").groupBy("file").count().where("count > 1")
-    once = rows if again.isEmpty() else rows.select("node", F.xxhash64("file").alias("f")).distinct()
+    rows = _hashed(files, index, min_letters)
+    kept = _at_hand(cut_lineage(_supports(rows, min_files)))
+    places = rows.select("file", F.posexplode("nodes").alias("i", "node")).join(kept.select("node"), "node")
+    places = places.select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), "node")
+    return places.join(_at_hand(_blocks(rows, kept, min_files)), "node")
+
+
+def _supports(rows: DataFrame, min_files: int) -> DataFrame:
+    """Nodes (node, n_files) in at least ``min_files`` files. A line's places in one row are made one within the row; only
+    where a file occurs in two rows must they be made one across rows."""
+    once = rows.select("file", F.explode(F.array_distinct(F.array_compact("nodes"))).alias("node"))
+    again = rows.groupBy("file").count().where("count > 1")
+    once = once if again.isEmpty() else once.select("node", F.xxhash64("file")).distinct()
     return once.groupBy("node").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= min_files)
 
 
+def _blocks(rows: DataFrame, kept: DataFrame, min_files: int) -> DataFrame:
+    """Rows (node, block): the kept nodes, joined by the kept edges. An edge's weight is the number of files in which one
+    line that counts comes right after the other."""
+    run = F.array_compact("nodes")
+    pairs = F.zip_with(F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0))), F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    steps = rows.where(F.size(run) > 1).select(F.explode(F.array_distinct(pairs)).alias("e")).select("e.*").where("x != y")
+    for side in ("x", "y"):
+        steps = steps.join(kept.select(F.col("node").alias(side)), side, "left_semi")
+    edges = steps.groupBy("x", "y").count().where(F.col("count") >= min_files)
+    return connected_components(kept.select("node"), edges)
+
+
 def without_repeated_lines(files: DataFrame, index: DataFrame, **found) -> DataFrame:
     """Rows (file, body_text, n_removed): the texts of all files without the lines of :func:`repeated_lines`.
 
