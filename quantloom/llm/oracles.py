@@ -1 +1,20 @@
-ORACLES: dict[str, str] = {}
+"""SQL of the queries on training text that SQL can express on whole tables."""
+
+_LINES = r"""src AS (SELECT file, max(lower(trim(source))) AS s FROM corpus_index WHERE source IS NOT NULL GROUP BY 1),
+l AS (SELECT file, s, unnest(string_split(body_text, chr(10))) AS line, unnest(range(1, len(string_split(body_text, chr(10))) + 1)) AS line_no FROM corpus_files JOIN src USING (file)),
+k AS (SELECT file, s, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{L}]', '', 'g') AS k FROM l),
+n AS (SELECT s, k FROM k WHERE length(k) >= 12 GROUP BY 1, 2 HAVING count(DISTINCT file) >= 6),
+f AS (SELECT file, line_no FROM k JOIN n USING (s, k))"""
+
+_NGRAMS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items)),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i WHERE n > 0)),
+sizes AS (SELECT DISTINCT n FROM g),
+x AS (SELECT DISTINCT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w JOIN sizes ON len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, item_id FROM x JOIN g USING (n, g))"""
+
+ORACLES = {
+    "p3_found": f"WITH {_LINES} SELECT file, line_no FROM f",
+    "p6_found": f"WITH {_NGRAMS} SELECT doc_id, item_id FROM h",
+    "p6_leaked_items": f"WITH {_NGRAMS} SELECT item_id, count(*) AS n_documents FROM h GROUP BY 1",
+}
