@@ -215,3 +215,27 @@ def correlations(steps: DataFrame, unit: Sequence[str]) -> DataFrame:
     right = steps.select(*unit, "date", F.col("asset").alias("b"), F.col("step").alias("y"))
     pairs = left.join(right, [*unit, "date"]).where("a < b")
     return pairs.groupBy(*unit, "a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("cov"))
+
+
+def stressed(steps: DataFrame, by: Sequence[str], min_steps: int = 30) -> DataFrame:
+    """(by..., s75): third quartile of the volatility path of series with ``min_steps`` steps or more."""
+    g = ewma(steps, by).groupBy(*by).agg(F.count("*").alias("n"), F.percentile("sigma", F.lit(0.75)).alias("s75"))
+    return g.where(F.col("n") >= min_steps).select(*by, "s75")
+
+
+def basket(panel: DataFrame, unit: Sequence[str], ends: DataFrame, trailing: int | None = 300) -> DataFrame:
+    """(unit..., ratio, basket): medians over a unit's assets of sigma now over sigma at or before the unit's ``end`` (series of 120
+    rows or more; within 0.5 and 3), and of sigma now over |last value| (60 or more).
+
+    Series whose median |value| is under 0.5 are returns, not levels: their values are the steps.
+    """
+    unit = list(unit)
+    by = [*unit, "asset"]
+    kind = panel.groupBy(*by).agg(F.count("*").alias("obs"), (F.median(F.abs("value")) < 0.5).alias("is_return"), F.max_by("value", "date").alias("last"))
+    level = clean_steps(panel, by, trailing)
+    both = level.join(kind, by).where("not is_return").unionByName(panel.select(*by, "date", F.col("value").alias("step")).where("step is not null").join(kind, by).where("is_return"))
+    path = ewma(both.select(*by, "date", "step"), by).join(kind, by).join(ends.select(*unit, "end"), unit)
+    now = path.groupBy(*by).agg(F.max_by("sigma", "date").alias("now"), F.max_by(F.when(F.col("date") <= F.col("end"), F.col("sigma")), F.when(F.col("date") <= F.col("end"), F.col("date"))).alias("was"), F.max("obs").alias("obs"), F.max("last").alias("last"))
+    ratio = F.when((F.col("obs") >= 120) & (F.col("was") > 0), F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.col("now") / F.col("was"))))
+    relative = F.when((F.col("obs") >= 60) & (F.col("last") != 0), F.col("now") / F.abs("last"))
+    return now.groupBy(*unit).agg(F.median(ratio).alias("ratio"), F.median(relative).alias("basket"))

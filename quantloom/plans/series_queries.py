@@ -137,7 +137,7 @@ def ewma_last_sigma(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_drift(spark: SparkSession, d: str) -> DataFrame:
-    return steps.rolling_drift(steps.clean_steps(shipments(spark, d), KEY), KEY).select(*KEY, "date", _r("drift", 3))
+    return steps.rolling_drift(steps.clean_steps(shipments(spark, d), KEY), KEY).select(*KEY, "date", F.round(F.col("drift") + 1e-9, 6).alias("drift"))
 
 
 def zscore_clipped(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +289,7 @@ ORACLES = {
         FROM monthly WINDOW w AS (PARTITION BY asset ORDER BY date)) WHERE date_diff('month', p, date) = 1"""),
     "ewma_path": with_ctes(SHIPMENTS, gaps("shipments"), sigmas("gs"), select="SELECT unit, asset, date, round(sigma, 3) AS sigma FROM e"),
     "ewma_last_sigma": with_ctes(FX, gaps("fx"), sigmas("gs"), select="SELECT unit, asset, round(arg_max(sigma, date), 6) AS sigma FROM e GROUP BY 1, 2"),
-    "rolling_drift": with_ctes(SHIPMENTS, gaps("shipments"), sigmas("gs"), DRIFTS, select="SELECT unit, asset, date, round(drift, 3) AS drift FROM dr"),
+    "rolling_drift": with_ctes(SHIPMENTS, gaps("shipments"), sigmas("gs"), DRIFTS, select="SELECT unit, asset, date, round(drift + 1e-9, 6) AS drift FROM dr"),
     "zscore_clipped": with_ctes(SHIPMENTS, gaps("shipments"), sigmas("gs"), DRIFTS, ZS,
         select="SELECT unit, asset, count(z) AS n, round(avg(z), 4) AS mean_z, round(stddev_samp(z), 4) AS sd_z, round(max(abs(z)), 4) AS max_z FROM z GROUP BY 1, 2"),
     "regime_sigma_drift": with_ctes(FX, gaps("fx"), sigmas("gs"), """r AS (SELECT unit, asset, count(*) AS n, arg_max(sigma, date) AS last, avg(step) AS mean,
