@@ -57,8 +57,9 @@ def _typical_moves(moves: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarr
     return typical, least
 
 
-def sparse_part(logs: np.ndarray, first: np.ndarray, scale: np.ndarray, rules: SpikeRules) -> np.ndarray:
-    """For each reading, the largest entry that it has in the sparse part of its series' profile matrix, in units of ``scale``.
+def sparse_part(logs: np.ndarray, first: np.ndarray, scale: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray]:
+    """For each reading, the largest entry that it has in the sparse part of its series' profile matrix, in units of ``scale``,
+    and whether it lies in a profile with any sparse entry.
 
     Row t of the matrix is the profile of days t-reach..t+reach about its own median (edges repeat the outermost
     reading). The matrices of all series of a batch are decomposed at once: their Gram matrices are summed over
@@ -82,7 +83,9 @@ def sparse_part(logs: np.ndarray, first: np.ndarray, scale: np.ndarray, rules: S
         sparse = np.sign(rest) * np.maximum(np.abs(rest) - rules.sparse_moves, 0)
     most = np.zeros(n)
     np.maximum.at(most, around.ravel(), np.abs(sparse).ravel())
-    return most
+    touched = np.zeros(n, bool)
+    touched[around[(sparse != 0).any(axis=1)].ravel()] = True
+    return most, touched
 
 
 def flag_series(value: np.ndarray, first: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +111,8 @@ def flag_series(value: np.ndarray, first: np.ndarray, rules: SpikeRules) -> tupl
 
     # With a typical move of zero any difference exceeds it; the least difference then stands for spike_moves of them.
     scale = np.where(typical > 0, typical, np.where(least > 0, least / (2 * rules.spike_moves), 1.0))
-    sparse = sparse_part(logs, start, scale, rules)
-    candidate = sparse > 0
+    # Spikes close together hide in one another's profiles, so every reading of a profile with a sparse entry is a candidate.
+    sparse, candidate = sparse_part(logs, start, scale, rules)
 
     bar = (rules.spike_moves * typical)[ids]
     spike = np.zeros(len(logs), bool)
