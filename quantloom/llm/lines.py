@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def letters(line: Column) -> Column:
-    """The letters of any alphabet, in order, without case (upper-casing first makes one of ß and ss)."""
-    return F.regexp_replace(F.lower(F.upper(line)), r"[^\p{L}]+", "")
+    """The letters of any alphabet, in order, without case; ß and ss are one, as they are in capitals."""
+    return F.regexp_replace(F.replace(F.lower(line), F.lit("ß"), F.lit("ss")), r"[^\p{L}]+", "")
 
 
 def source_key(source: Column) -> Column:

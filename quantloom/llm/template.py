@@ -37,7 +37,7 @@ class TemplateRules:
 #: Joined tables of up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
-_EDGE = F.lit(1).cast("bigint")
+_EDGE = 1  # the key of the page's edge
 _SEPARATED = r"^[^\p{L}]*\p{L}[^>»/|·›→]*(\s[>»/|·›→]\s[^>»/|·›→]*\p{L}[^>»/|·›→]*)+$"
 
 
@@ -100,8 +100,8 @@ def _contexts(pages: DataFrame, recurring: DataFrame) -> DataFrame:
     size = F.size("elements")
 
     def at(x: Column, i: Column) -> Column:
-        before = F.when(i == 0, _EDGE).otherwise(F.get("elements", i - 1)["k"])
-        after = F.when(i == size - 1, _EDGE).otherwise(F.get("elements", i + 1)["k"])
+        before = F.when(i == 0, F.lit(_EDGE).cast("bigint")).otherwise(F.get("elements", i - 1)["k"])
+        after = F.when(i == size - 1, F.lit(_EDGE).cast("bigint")).otherwise(F.get("elements", i + 1)["k"])
         return F.struct(x["k"].alias("k"), before.alias("before"), after.alias("after"))
 
     rows = pages.select(F.explode(F.transform("elements", at)).alias("e")).select("e.*")
@@ -110,7 +110,7 @@ def _contexts(pages: DataFrame, recurring: DataFrame) -> DataFrame:
     known = recurring.select(F.col("k").alias("other"), F.lit(True).alias("known"))
     for side in ("before", "after"):
         rows = rows.join(_at_hand(known.withColumnRenamed("other", side)), side, "left")
-        rows = rows.withColumn(side, F.when(F.col("known") | (F.col(side) == 1), F.col(side)).otherwise(F.lit(0).cast("bigint"))).drop("known")
+        rows = rows.withColumn(side, F.when(F.col("known") | (F.col(side) == _EDGE), F.col(side)).otherwise(F.lit(0).cast("bigint"))).drop("known")
     return rows.groupBy("k", "before", "after").agg(F.count("*").alias("c"))
 
 
@@ -124,7 +124,7 @@ def _attachment(contexts: DataFrame, recurring: DataFrame, rules: TemplateRules)
         rows = contexts
         for s in ("before", "after"):
             rows = rows.join(side.withColumnRenamed("other", s).withColumnRenamed("w", f"w_{s}"), s, "left")
-            rows = rows.withColumn(f"w_{s}", F.when(F.col(s) == 1, 1.0).otherwise(F.coalesce(f"w_{s}", F.lit(0.0))))
+            rows = rows.withColumn(f"w_{s}", F.when(F.col(s) == _EDGE, 1.0).otherwise(F.coalesce(f"w_{s}", F.lit(0.0))))
         own = rows.groupBy("k").agg(F.sum(F.col("c") * F.greatest("w_before", "w_after")).alias("x"), F.sum("c").alias("m"))
         own = cut_lineage(own.join(recurring.select("k", "g"), "k"))
         pooled = own.groupBy("g").agg((F.sum("x") / F.sum("m")).alias("mean"), F.sum("m").alias("n"), F.count("*").alias("hosts"))
