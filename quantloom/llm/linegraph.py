@@ -19,7 +19,8 @@ BROADCAST_NODES = 500_000
 
 
 def _at_hand(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+    """A side of a join with a checked size: broadcast while small, else hashed partition by partition, without a sort."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df.hint("shuffle_hash")
 
 
 def _hashed(files: DataFrame, index: DataFrame, min_letters: int) -> DataFrame:

@@ -42,7 +42,15 @@ _SEPARATED = r"^[^\p{L}]*\p{L}[^>»/|·›→]*(\s[>»/|·›→]\s[^>»/|·›
 
 
 def _at_hand(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A side of a join with a checked size: broadcast while small, else hashed partition by partition, without a sort."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def _joined(rows: DataFrame, key: str, side: DataFrame, *spread: str) -> DataFrame:
+    """rows with the columns of ``side`` (key, ...) where their key has any. Keys 0 and 1, no letters and the page's edge, are
+    in no side; as they are in many rows, a hash of the columns ``spread`` takes their place in the join."""
+    at = F.when(F.col(key).isin(0, _EDGE), F.xxhash64(*spread, F.lit(key))).otherwise(F.col(key))
+    return rows.withColumn("_at", at).join(side.withColumnRenamed(key, "_at"), "_at", "left").drop("_at")
 
 
 def _hosts(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -104,12 +112,11 @@ def _contexts(pages: DataFrame, recurring: DataFrame) -> DataFrame:
         after = F.when(i == size - 1, F.lit(_EDGE).cast("bigint")).otherwise(F.get("elements", i + 1)["k"])
         return F.struct(x["k"].alias("k"), before.alias("before"), after.alias("after"))
 
-    rows = pages.select(F.explode(F.transform("elements", at)).alias("e")).select("e.*")
-    keys = _at_hand(recurring.select("k"))
-    rows = rows.join(keys, "k")
-    known = recurring.select(F.col("k").alias("other"), F.lit(True).alias("known"))
-    for side in ("before", "after"):
-        rows = rows.join(_at_hand(known.withColumnRenamed("other", side)), side, "left")
+    rows = pages.select(F.explode(F.transform("elements", at)).alias("e")).select("e.*").where("k != 0")
+    known = _at_hand(recurring.select("k"))
+    rows = rows.join(known, "k")
+    for side, other in (("before", "after"), ("after", "before")):
+        rows = _joined(rows, side, known.select(F.col("k").alias(side), F.lit(True).alias("known")), "k", other)
         rows = rows.withColumn(side, F.when(F.col("known") | (F.col(side) == _EDGE), F.col(side)).otherwise(F.lit(0).cast("bigint"))).drop("known")
     return rows.groupBy("k", "before", "after").agg(F.count("*").alias("c"))
 
@@ -120,10 +127,10 @@ def _attachment(contexts: DataFrame, recurring: DataFrame, rules: TemplateRules)
     towards the mean of the same line at other hosts."""
     t = recurring
     for _ in range(rules.rounds):
-        side = _at_hand(t.select(F.col("k").alias("other"), F.col("t").alias("w")))
+        known = _at_hand(t.select("k", "t"))
         rows = contexts
-        for s in ("before", "after"):
-            rows = rows.join(side.withColumnRenamed("other", s).withColumnRenamed("w", f"w_{s}"), s, "left")
+        for s, other in (("before", "after"), ("after", "before")):
+            rows = _joined(rows, s, known.select(F.col("k").alias(s), F.col("t").alias(f"w_{s}")), "k", other)
             rows = rows.withColumn(f"w_{s}", F.when(F.col(s) == _EDGE, 1.0).otherwise(F.coalesce(f"w_{s}", F.lit(0.0))))
         own = rows.groupBy("k").agg(F.sum(F.col("c") * F.greatest("w_before", "w_after")).alias("x"), F.sum("c").alias("m"))
         own = cut_lineage(own.join(recurring.select("k", "g"), "k"))
@@ -153,7 +160,7 @@ def furniture_lines(files: DataFrame, index: DataFrame, rules: TemplateRules = T
     known = cut_lineage(pooled.where((F.col("hosts") >= rules.known_hosts) & (F.col("mean") >= rules.attached)).select("g", F.lit(True).alias("known")))
     bar = F.when((F.col("hosts") < rules.known_hosts) & F.col("stop"), rules.attached_sentence).otherwise(rules.attached)
     rows = pages.select("file", F.explode("elements").alias("e")).select("file", "e.*")
-    rows = rows.join(_at_hand(t.select("k", "t", "hosts")), "k", "left").join(_at_hand(known), "g", "left")
+    rows = _joined(rows, "k", _at_hand(t.select("k", "t", "hosts")), "file", "no").join(_at_hand(known), "g", "left")
     whole = rows.where((F.col("t") >= bar) | (F.col("t").isNull() & F.col("known"))).select("file", F.col("no").alias("line_no"))
     return whole.unionByName(_section_paths(pages, rules)).distinct()
 

@@ -1,7 +1,9 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
+from quantloom.llm import linegraph
 from quantloom.llm.linegraph import connected_components, repeated_lines, without_repeated_lines
 
 FILES = "file string, body_text string, node string"
@@ -31,7 +33,9 @@ def make():
     return [*files, ("null", None, "x"), ("alone", pool[2], "x")], [*index, ("gone", "source a", 0), ("none", None, 0)]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(linegraph, "BROADCAST_NODES", most)
     files, index = make()
     got = repeated_lines(spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX))
     assert sorted((r.file, r.line_no) for r in got.collect()) == brute(files, index)

@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from quantloom.llm import template
 from quantloom.llm.template import furniture_lines, main_body
 
 FILES = "file string, body_text string, source string, host string"
@@ -34,7 +36,10 @@ def sites(spark, n_sites=6, n_pages=12):
     return spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX), want
 
 
-def test_furniture_of_sites(spark):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_furniture_of_sites(spark, monkeypatch, most):
+    monkeypatch.setattr(template, "BROADCAST_ROWS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if most < 0 else "10485760")
     files, index, want = sites(spark)
     got = {(r.file, r.line_no) for r in furniture_lines(files, index).collect()}
     hit = len(got & want)
@@ -44,6 +49,7 @@ def test_furniture_of_sites(spark):
 
 
 def test_nulls_empty_and_repeated(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
     files = spark.createDataFrame([("a_1", None, "", ""), (None, "x", "", ""), ("a_2", "", "", ""), ("a_3", "one line", "", ""), ("a_3", "one line", "", "")], FILES)
     index = spark.createDataFrame([("a_1", "A", "")], INDEX)
     assert furniture_lines(files, index).count() == 0
