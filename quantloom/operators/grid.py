@@ -142,3 +142,16 @@ def group_bootstrap(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
     spread = groups.select("i", "g", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     picks = spread.select("replicate", F.floor(uniform(F.lit(seed), F.col("replicate"), F.col("i")) * F.col("g")).cast("int").alias("i"))
     return picks.join(groups.select("i", "s", "n"), "i").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
+def incomplete_draws(draws: DataFrame) -> DataFrame:
+    """(unit, n_draws, n_incomplete): draws that lack some cell that their unit's other draws have."""
+    cells = draws.groupBy("unit").agg(F.count_distinct("asset", "horizon").alias("cells"))
+    per = draws.groupBy("unit", "draw").agg(F.count_distinct("asset", "horizon").alias("have"))
+    return per.join(cells, "unit").groupBy("unit").agg(F.count("*").alias("n_draws"), F.count_if(F.col("have") < F.col("cells")).alias("n_incomplete"))
+
+
+def evidence(roster: DataFrame, digests: DataFrame) -> DataFrame:
+    """(n_units, n_without): roster units without a digest (unit, digest); any such unit is an organizer's fault."""
+    rows = roster.select("unit").join(digests.groupBy("unit").agg(F.max("digest").alias("digest")), "unit", "left")
+    return rows.agg(F.count("*").alias("n_units"), F.count_if(F.col("digest").isNull()).alias("n_without"))

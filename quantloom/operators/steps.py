@@ -239,3 +239,38 @@ def basket(panel: DataFrame, unit: Sequence[str], ends: DataFrame, trailing: int
     ratio = F.when((F.col("obs") >= 120) & (F.col("was") > 0), F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.col("now") / F.col("was"))))
     relative = F.when((F.col("obs") >= 60) & (F.col("last") != 0), F.col("now") / F.abs("last"))
     return now.groupBy(*unit).agg(F.median(ratio).alias("ratio"), F.median(relative).alias("basket"))
+
+
+def mean_gap(panel: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n_gaps, mean_gap): mean days between rows, holes left out."""
+    rows = gap_limits(panel, by).where(F.col("gap").isNotNull() & ~F.col("hole"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n_gaps"), F.avg("gap").alias("mean_gap"))
+
+
+def monthly_horizons(cells: DataFrame, periods: DataFrame, last: DataFrame) -> DataFrame:
+    """(unit, asset, horizon, steps, code): months from an asset's last observation to the month that a cell's periods name.
+
+    cells: (unit, asset, horizon), the planned grid; periods: (unit, asset, horizon, period YYYY-MM), several spellings a cell
+    allowed; last: (unit, asset, last_month), month indexes. code: ``missing`` without a period, ``unreadable``, ``conflict`` where
+    spellings disagree, ``not_after`` where the month isn't after the last one, else NULL; steps is NULL with any code.
+    """
+    key = ["unit", "asset", "horizon"]
+    month = F.concat("period", F.lit("-01")).try_cast("date")
+    ok = F.col("period").rlike(r"^\d{4}-\d{2}$") & month.isNotNull()
+    named = periods.select(*key, F.when(ok, month_index(month)).alias("m"))
+    g = named.groupBy(*key).agg(F.count("*").alias("n"), F.count("m").alias("read"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    rows = cells.select(*key).join(g, key, "left").join(last, ["unit", "asset"], "left")
+    steps_ = F.col("lo") - F.col("last_month")
+    code = (
+        F.when(F.col("n").isNull(), "missing").when(F.col("read") < F.col("n"), "unreadable").when(F.col("lo") != F.col("hi"), "conflict").when(F.coalesce(steps_, F.lit(0)) <= 0, "not_after")
+    )
+    return rows.select(*key, F.when(code.isNull(), steps_).alias("steps"), code.alias("code"))
+
+
+def monthly_gate(check: DataFrame, horizons: DataFrame) -> DataFrame:
+    """(unit, path): ``monthly`` where all series of a unit are monthly and all its horizons have steps, ``refused`` where periods
+    conflict, else ``daily``. check: (unit, is_monthly) a series; horizons: (unit, code) a cell."""
+    m = check.groupBy("unit").agg(F.every("is_monthly").alias("monthly"))
+    h = horizons.groupBy("unit").agg(F.count("code").alias("bad"), F.count_if(F.col("code") == "conflict").alias("conflicts"))
+    path = F.when(F.col("conflicts") > 0, "refused").when(F.col("monthly") & (F.col("bad") == 0), "monthly").otherwise("daily")
+    return m.join(h, "unit").select("unit", path.alias("path"))

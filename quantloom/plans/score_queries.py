@@ -110,6 +110,17 @@ def grid_declared_vs_plan(spark: SparkSession, d: str) -> DataFrame:
     return grid.declared_grid(pairs)
 
 
+def draw_completeness(spark: SparkSession, d: str) -> DataFrame:
+    return grid.incomplete_draws(draws(spark, d))
+
+
+def roster_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Cards without any reading of the ten currencies have no evidence."""
+    roster = table(spark, d, "task_cards").select(F.col("card_id").alias("unit"))
+    g = table(spark, d, "g10_daily").where("card_id is not null").groupBy(F.col("card_id").alias("unit")).agg(F.max(F.md5("asset")).alias("digest"))
+    return grid.evidence(roster, g)
+
+
 def label_code_counts(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.createDataFrame([("A", 0), ("N", 1)], "label string, code int")
     coded = grid.label_codes(draws(spark, d), labels, "asset")
@@ -169,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         crps_by_cell, pinball_by_cell, tail_pinball_unit, tail_coverage_unit, variogram_unit, energy_unit, composite_unit, composite_single_cell,
-        pit_coverage_diag, calibration_correction, draw_gate_counts, grid_dup_missing_extra, grid_declared_vs_plan, label_code_counts, realized_flat,
+        pit_coverage_diag, calibration_correction, draw_gate_counts, grid_dup_missing_extra, grid_declared_vs_plan, draw_completeness, roster_evidence, label_code_counts, realized_flat,
         roster_mean_clipped, roster_accounts, scale_normalised_scores, roster_commitment, group_bootstrap_means, text_ablation,
     )
 }
@@ -232,6 +243,9 @@ ORACLES = {
         SELECT card_id AS unit, horizons = planned AS equal, CAST(len(horizons) - len(list_distinct(horizons)) AS INT) AS duplicates,
         CAST(len(list_filter(list_distinct(planned), lambda x: NOT list_contains(horizons, x))) AS INT) AS missing,
         CAST(len(list_filter(list_distinct(horizons), lambda x: NOT list_contains(planned, x))) AS INT) AS extra FROM task_cards JOIN plan USING (category)""",
+    "draw_completeness": with_ctes(DRAWS, select="""SELECT unit, count(*) AS n_draws, count(*) FILTER (have < cells) AS n_incomplete FROM (SELECT unit, draw, count(DISTINCT asset || horizon) AS have FROM draws GROUP BY 1, 2)
+        JOIN (SELECT unit, count(DISTINCT asset || horizon) AS cells FROM draws GROUP BY 1) USING (unit) GROUP BY 1"""),
+    "roster_evidence": """SELECT count(*) AS n_units, count(*) FILTER (g.unit IS NULL) AS n_without FROM task_cards LEFT JOIN (SELECT DISTINCT card_id AS unit FROM g10_daily WHERE card_id IS NOT NULL AND asset IS NOT NULL) g ON g.unit = card_id""",
     "label_code_counts": with_ctes(DRAWS, select="SELECT CASE asset WHEN 'A' THEN 0 WHEN 'N' THEN 1 END AS code, count(*) AS n_rows FROM draws GROUP BY 1"),
     "realized_flat": with_ctes(
         DRAWS, REALIZED, DECLARED,

@@ -199,6 +199,28 @@ def asset_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return steps.correlations(steps.aligned(steps.clean_steps(shipments(spark, d), KEY), ["unit"]), ["unit"]).select("unit", "a", "b", "n", _r("corr"), _r("cov", 0))
 
 
+def panel_mean_gap(spark: SparkSession, d: str) -> DataFrame:
+    return steps.mean_gap(fx(spark, d), KEY).select(*KEY, "n_gaps", _r("mean_gap"))
+
+
+def monthly_horizon_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Horizons of the monthly order panel mapped to steps; the second spelling of one period is a month off."""
+    p = monthly(spark, d).select(F.lit("orders").alias("unit"), "asset", "date")
+    last = p.groupBy("unit", "asset").agg(F.max("date").alias("last"))
+    cells = last.select("unit", "asset", "last", F.explode(F.array(*map(F.lit, (-1, 1, 3, 6, 9)))).alias("horizon"))
+    first = cells.where("horizon != 9").select("unit", "asset", "horizon", F.date_format(F.add_months("last", F.col("horizon")), "yyyy-MM").alias("period"))
+    off = F.when(F.col("asset") == "5-LOW", 1).otherwise(0)
+    second = cells.where("horizon = 3").select("unit", "asset", "horizon", F.date_format(F.add_months("last", F.col("horizon") + off), "yyyy-MM").alias("period"))
+    months = last.select("unit", "asset", steps.month_index(F.col("last")).alias("last_month"))
+    return steps.monthly_horizons(cells, first.unionByName(second), months)
+
+
+def monthly_path_gate(spark: SparkSession, d: str) -> DataFrame:
+    check = steps.monthly_check(monthly(spark, d), ["asset"]).select(F.col("asset").alias("unit"), "is_monthly")
+    codes = monthly_horizon_mapping(spark, d).where("horizon in (1, 3)").select(F.col("asset").alias("unit"), "code")
+    return steps.monthly_gate(check, codes)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -206,7 +228,7 @@ QUERIES = {
         business_day_offset, cross_unit_leak_join, targets_present_missing, steps_level_gap_trailing300, steps_gap_full_history, steps_log_return,
         return_panel_tripwire, cadence_by_asset, dense_daily_flag, monthly_series_check, monthly_consecutive_steps, ewma_path, ewma_last_sigma,
         rolling_drift, zscore_clipped, regime_sigma_drift, mean_reversion_phi, recency_crisis_weights, month_steps, horizon_steps_rounding,
-        overlapping_changes, transfer_flag, aligned_steps_inner, aligned_steps_outer_zero, asset_moments_samp_pop, asset_corr_matrix,
+        overlapping_changes, transfer_flag, aligned_steps_inner, aligned_steps_outer_zero, asset_moments_samp_pop, asset_corr_matrix, panel_mean_gap, monthly_horizon_mapping, monthly_path_gate,
     )
 }
 
@@ -316,6 +338,13 @@ ORACLES = {
     "overlapping_changes": with_ctes(FX, select="""SELECT unit, asset, count(*) AS n, round(stddev_samp(c), 6) AS sd_h, count(*) FILTER (rn % 21 = 0) AS n_apart FROM
         (SELECT unit, asset, value - lag(value, 21) OVER w AS c, row_number() OVER w AS rn FROM fx WINDOW w AS (PARTITION BY unit, asset ORDER BY date)) WHERE c IS NOT NULL GROUP BY 1, 2"""),
     "transfer_flag": with_ctes(FX, gaps("fx"), select="SELECT unit, asset, CAST(arg_max_null(gap, date) AS INT) AS last_gap, coalesce(arg_max_null(gap, date) > 60, false) AS is_transfer FROM g GROUP BY 1, 2"),
+    "panel_mean_gap": with_ctes(FX, gaps("fx"), select="""SELECT unit, asset, count(*) AS n_gaps, round(avg(gap), 6) AS mean_gap FROM g JOIN gm USING (unit, asset)
+        WHERE gap IS NOT NULL AND NOT (n >= 3 AND m > 0 AND gap > greatest(10 * m, 5)) GROUP BY 1, 2"""),
+    "monthly_horizon_mapping": with_ctes(MONTHLY, select="""SELECT 'orders' AS unit, asset, horizon, CASE WHEN horizon IN (1, 6) OR (horizon = 3 AND asset <> '5-LOW') THEN horizon END AS steps,
+        CASE WHEN horizon = 9 THEN 'missing' WHEN horizon = 3 AND asset = '5-LOW' THEN 'conflict' WHEN horizon = -1 THEN 'not_after' END AS code
+        FROM (SELECT DISTINCT asset FROM monthly), (SELECT unnest([-1, 1, 3, 6, 9]) AS horizon)"""),
+    "monthly_path_gate": with_ctes(MONTHLY, """m AS (SELECT asset, year(date) * 12 + month(date) - 1 AS m FROM monthly), q AS (SELECT asset, m, m - lag(m) OVER (PARTITION BY asset ORDER BY m) AS g FROM m)""",
+        select="""SELECT asset AS unit, CASE WHEN asset = '5-LOW' THEN 'refused' WHEN coalesce(count(*) >= 3 AND count(*) = count(DISTINCT m) AND median(g) = 1, false) THEN 'monthly' ELSE 'daily' END AS path FROM q GROUP BY 1"""),
     "aligned_steps_inner": with_ctes(FX, gaps("fx"), """k AS (SELECT unit, count(DISTINCT asset) AS a FROM gs GROUP BY 1), f AS (SELECT gs.* FROM gs JOIN k USING (unit) QUALIFY count(*) OVER (PARTITION BY unit, date) = a)""",
         select="SELECT unit, count(*) AS n_rows, count(DISTINCT date) AS n_dates, round(sum(step), 6) AS total FROM f GROUP BY 1"),
     "aligned_steps_outer_zero": with_ctes(FX, gaps("fx"), """f AS (SELECT d.unit, d.date, a.asset, coalesce(gs.step, 0.0) AS step FROM (SELECT DISTINCT unit, date FROM gs) d JOIN (SELECT DISTINCT unit, asset FROM gs) a ON d.unit = a.unit
