@@ -77,11 +77,17 @@ def _classes() -> bytes:
 CLASSES = _classes()
 LETTER = bytes(i if i >= 0x80 or chr(i).isalpha() else 32 for i in range(256))
 NOT_LETTER = bytes(i for i in range(128) if not (chr(i).isalpha() or chr(i).isspace()))
+SPACES = dict.fromkeys([0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ") | dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
 MARK_HEADS = frozenset("-*•◦▪‣·–—+o»[(0123456789")
 ENDS = frozenset(".!?…:")
 CLOSERS = "\"'”»)] \t\r"
 
 
+def _plain(text: str) -> str:
+    """The text with every kind of space but line ends and tabs as a plain one, and without characters of no width."""
+    return text if text.isascii() else text.translate(SPACES)
+
+
 def _letters(text: str) -> list[bytes]:
     """The words of a text in lower case, as UTF-8; what isn't ASCII counts as a letter."""
     return text.lower().encode("utf-8", "replace").translate(LETTER).split()
@@ -173,6 +179,7 @@ def _blocks(text: str) -> Iterator[list[str]]:
 
 def shares(text: str) -> dict[str, int]:
     """Visible characters of a text in prose, list, table and junk."""
+    text = _plain(text)
     out = {"prose": 0, "list": 0, "table": 0, "junk": 0}
     pending: list[str] = []
 
@@ -246,6 +253,7 @@ def _plainly_prose(text: str, classes: bytes, n: int, size: int, n_lines: int, l
 
 
 def statistics(text: str, rules: Rules) -> tuple:
+    text = _plain(text)
     words, letters = text.split(), _letters(text)
     raw = text.encode("utf-8", "replace")
     classes = raw.translate(CLASSES)

@@ -15,6 +15,7 @@ SHAPES = {
         "Le conseil a décidé de ne pas modifier sa politique, et la production a ralenti. " * 4,
         "El consejo decidió no cambiar la política, mientras que el consumo bajó un poco. " * 4,
         PROSE * 4 + "\n\n- rates 4.1\n- prices 5.2\n",
+        (PROSE * 4).replace(" ", "\u00a0"),
         "Question: " + PROSE * 2 + "\nAnswer: " + PROSE * 2,
     ],
     "list": [
