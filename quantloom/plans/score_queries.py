@@ -39,7 +39,7 @@ joint AS (SELECT unit, 2 * sum(pow(y - x, 2)) AS joint FROM pairs GROUP BY 1)"""
 
 
 def pinball_by_cell(spark: SparkSession, d: str) -> DataFrame:
-    return scores.pinball(draws(spark, d), realized(spark, d)).select(*CELL, "level", _r("q", 2), _r("loss", 2))
+    return scores.pinball(draws(spark, d), realized(spark, d)).select(*CELL, "level", *(F.round(F.col(k) + 1e-6, 2).alias(k) for k in ("q", "loss")))
 
 
 def tail_pinball_unit(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ U01 = "(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0)"
 
 ORACLES = {
     "crps_by_cell": with_ctes(DRAWS, REALIZED, CRPS, select="SELECT unit, asset, horizon, n_draws, round(crps, 4) AS crps FROM crps"),
-    "pinball_by_cell": with_ctes(DRAWS, REALIZED, QS, PINBALL, select="SELECT unit, asset, horizon, CAST(level AS DOUBLE) AS level, round(q, 2) AS q, round(loss, 2) AS loss FROM pinball"),
+    "pinball_by_cell": with_ctes(DRAWS, REALIZED, QS, PINBALL, select="SELECT unit, asset, horizon, CAST(level AS DOUBLE) AS level, round(q + 1e-6, 2) AS q, round(loss + 1e-6, 2) AS loss FROM pinball"),
     "tail_pinball_unit": with_ctes(DRAWS, REALIZED, QS, PINBALL, TAIL, select="SELECT unit, round(tail, 4) AS tail FROM tail"),
     "tail_coverage_unit": with_ctes(
         DRAWS, REALIZED, QS, PINBALL,
