@@ -57,22 +57,21 @@ def adjusted(draws: DataFrame, adjustments: DataFrame, vol: tuple[float, float]
     return rows.select(*CELL, "draw", F.when(touched, F.col("med") + dev * v + shift).otherwise(F.col("value")).alias("value"))
 
 
-def mixed_scenarios(draws: DataFrame, scenarios: DataFrame, shifts: DataFrame, n_draws: int) -> DataFrame:
+def mixed_scenarios(draws: DataFrame, scenarios: DataFrame, shifts: DataFrame) -> DataFrame:
     """Scenario mixture: up to three branches take the first round(p n) draws each, in order, and move about the median of
-    their own branch.
+    their own branch. n is the number of the cell's own draws, so a unit whose cells are whole has each draw in one branch.
 
-    scenarios: (branch 1.., p, vol); shifts: (branch, asset, k). The bounds of the branches are few rows.
+    scenarios: (branch 1.., p, vol); shifts: (branch, asset, k). The branches are few rows.
     """
-    order = Window.partitionBy(F.lit(1)).orderBy("branch")
-    size = F.bround(_clamp(F.col("p"), 0.0, 1.0) * n_draws).cast("int")
-    bounds = scenarios.where("branch <= 3").select("branch", _clamp(F.coalesce("vol", F.lit(1.0)), 0.8, 2.0).alias("vol"), size.alias("size"))
-    bounds = bounds.withColumn("hi", F.sum("size").over(order)).withColumn("lo", F.col("hi") - F.col("size"))
-    listed = bounds.agg(F.sort_array(F.collect_list(F.struct("branch", "lo", "hi", "vol"))).alias("b")).first().b
-    branch, vol = F.lit(0), F.lit(1.0)
+    kept = scenarios.where("branch <= 3").select("branch", F.nanvl(F.coalesce("p", F.lit(0.0)), F.lit(0.0)).alias("p"), _clamp(F.coalesce("vol", F.lit(1.0)), 0.8, 2.0).alias("vol"))
+    listed = kept.agg(F.sort_array(F.collect_list(F.struct("branch", "p", "vol"))).alias("b")).first().b
+    cell = Window.partitionBy(*CELL)
+    whole = draws.withColumn("cell_sd", F.stddev_pop("value").over(cell)).withColumn("n", F.count("*").over(cell))
+    branch, vol, lo = F.lit(0), F.lit(1.0), F.lit(0)
     for b in listed:
-        inside = (F.col("draw") >= b.lo) & (F.col("draw") < b.hi)
-        branch, vol = F.when(inside, b.branch).otherwise(branch), F.when(inside, b.vol).otherwise(vol)
-    whole = draws.withColumn("cell_sd", F.stddev_pop("value").over(Window.partitionBy(*CELL)))
+        hi = lo + F.bround(F.lit(min(max(b.p, 0.0), 1.0)) * F.col("n")).cast("int")
+        inside = (F.col("draw") >= lo) & (F.col("draw") < hi)
+        branch, vol, lo = F.when(inside, b.branch).otherwise(branch), F.when(inside, b.vol).otherwise(vol), hi
     rows = _centre(whole.withColumn("branch", branch).withColumn("vol", vol), "branch").join(F.broadcast(shifts), ["branch", "asset"], "left")
     sd = F.when(F.col("cell_sd") > 0, F.col("cell_sd")).otherwise(1.0)
     moved = F.col("med") + (F.col("value") - F.col("med")) * F.col("vol") + F.col("k") * sd

@@ -139,7 +139,7 @@ def overlay_adjust(spark: SparkSession, d: str) -> DataFrame:
 def scenario_mixture(spark: SparkSession, d: str) -> DataFrame:
     s = spark.createDataFrame([(1, 0.25, 1.5), (2, 0.1, 3.0)], "branch int, p double, vol double")
     k = spark.createDataFrame([(1, "A", 1.0), (2, "A", -2.0), (2, "N", 0.5)], "branch int, asset string, k double")
-    return _summary(overlay.mixed_scenarios(draws(spark, d), s, k, 1000), CELL, 3)
+    return _summary(overlay.mixed_scenarios(draws(spark, d), s, k), CELL, 3)
 
 
 def two_scalar_adjust(spark: SparkSession, d: str) -> DataFrame:

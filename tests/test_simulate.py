@@ -89,3 +89,14 @@ def test_overlay_keeps_the_order_of_draws(spark):
     assert {r.value for r in overlay.adjusted(draws, adj).where("asset = 'B'").collect()} == {5.0}
     corr = spark.createDataFrame([("u", "B", 1, 0.4, 2.0, 2.0)], "unit string, asset string, horizon int, shift_sd double, scale_lo double, scale_hi double")
     assert {r.value for r in overlay.corrected(draws, corr).where("asset = 'B'").collect()} == {5.0}
+
+
+def test_branches_take_their_share_of_any_number_of_draws(spark):
+    rows = [("u", "A", 1, i, float(i % 7)) for i in range(3000)] + [("u", "A", 2, i, float(i % 7)) for i in range(10)]
+    draws = spark.createDataFrame(rows, "unit string, asset string, horizon int, draw int, value double")
+    s = spark.createDataFrame([(1, 0.25, 1.5), (2, 0.1, 3.0), (3, None, None)], "branch int, p double, vol double")
+    k = spark.createDataFrame([(b, "A", v) for b, v in ((1, 100.0), (2, -100.0), (3, 500.0))], "branch int, asset string, k double")
+    out = overlay.mixed_scenarios(draws, s, k).collect()
+    for h, n1, n2 in ((1, 750, 300), (2, 2, 1)):  # halves go to the even number
+        up, down = ({r.draw for r in out if r.horizon == h and side * r.value > 50} for side in (1, -1))
+        assert up == set(range(n1)) and down == set(range(n1, n1 + n2))
