@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom.functions.rng import normal, uniform
+from quantloom.operators import steps
 
 #: The seeds by which the five named adapters differ.
 ADAPTER_SEEDS = {"theta_arima": 1, "chronos": 11, "timesfm": 22, "lag_llama": 33, "moirai": 44}
@@ -95,9 +96,9 @@ def monthly_walk(moments: DataFrame, n_draws: int, seed: int) -> DataFrame:
     return rows.select("unit", "asset", "horizon", "draw", (F.col("anchor") + F.col("drift") * F.col("horizon") + F.col("sd") * total).alias("value"))
 
 
-def covariance_draws(moments: DataFrame, covariances: DataFrame, n_draws: int, seed: int, ridge: float = 1e-10) -> DataFrame:
+def covariance_draws(moments: DataFrame, covariances: DataFrame, n_draws: int, seed: int, ridge: float = 1.1e-9) -> DataFrame:
     """(unit, asset, horizon, draw, value) of the text-blind baseline: mean anchor + s drift, covariance min(s_i, s_j) cov_ij over a
-    unit's cells sorted by asset and horizon, drawn through one factor a unit."""
+    unit's cells sorted by asset and horizon, drawn through one factor a unit. ``ridge`` is added to the variances."""
 
     def factor(key: tuple, cells: pd.DataFrame, cov: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values(["asset", "horizon"]).reset_index(drop=True)
@@ -108,16 +109,49 @@ def covariance_draws(moments: DataFrame, covariances: DataFrame, n_draws: int, s
             for j in range(k):
                 a, b = sorted((cells.asset[i], cells.asset[j]))
                 s[i, j] = min(cells.horizon[i], cells.horizon[j]) * pair.get((a, b), 0.0)
-        size = max(np.abs(np.diag(s)).max() if k else 1.0, 1e-300)
-        s += np.eye(k) * size * ridge
-        values, vectors = np.linalg.eigh(s)
-        low = vectors * np.sqrt(np.maximum(values, 0))
+        s += np.eye(k) * ridge
+        sd = np.sqrt(np.diag(s))  # factored as correlations, so that a wide asset leaves the others' digits alone
+        values, vectors = np.linalg.eigh(s / np.outer(sd, sd))
+        low = sd[:, None] * vectors * np.sqrt(np.maximum(values, 0))
         return pd.DataFrame({"unit": key[0], "asset": cells.asset, "horizon": cells.horizon, "mean": cells.anchor + cells.horizon * cells.drift, "loads": list(low)})
 
     schema = "unit string, asset string, horizon int, mean double, loads array<double>"
-    rows = moments.groupBy("unit").cogroup(covariances.groupBy("unit")).applyInPandas(factor, schema)
-    z = F.aggregate(F.transform("loads", lambda x, i: x * normal(F.lit(seed), F.col("draw"), i, F.col("unit"))), F.lit(0.0), lambda a, x: a + x)
-    return draw_ids(rows, n_draws).select("unit", "asset", "horizon", "draw", (F.col("mean") + z).alias("value"))
+    covariances = covariances.select(F.col("unit").alias("_unit"), "a", "b", "cov")  # both may come from one relation
+    rows = moments.groupBy("unit").cogroup(covariances.groupBy("_unit")).applyInPandas(factor, schema)
+    # a row a unit and draw, so that its normals are made once for all cells
+    units = rows.groupBy("unit").agg(F.collect_list(F.struct("asset", "horizon", "mean", "loads")).alias("cells"))
+    z = F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: normal(F.lit(seed), F.col("draw"), i, F.col("unit")))
+    rows = draw_ids(units, n_draws).withColumn("z", z).select("unit", "draw", "z", F.explode("cells").alias("c"))
+    sum_ = F.aggregate(F.zip_with("c.loads", "z", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("unit", "c.asset", "c.horizon", "draw", (F.col("c.mean") + sum_).alias("value"))
+
+
+def gaussian_floor(panel: DataFrame, horizons: DataFrame, n_draws: int, seed: int, trailing: int = 300) -> DataFrame:
+    """(unit, asset, horizon, draw, value): the Gaussian floor, anchor + drift s plus the sum of s correlated steps, one path a
+    draw for all horizons.
+
+    panel: (unit, asset, date, value) up to the as-of; horizons: (unit, asset, horizon), steps ahead. Mean, population
+    deviation and correlation are those of the last ``trailing`` steps, paired by date; assets with 20 common dates or fewer
+    are independent. A series without steps walks with unit steps, one of a single row or none from zero.
+    """
+    key = ["unit", "asset"]
+    s = steps.trailing_rows(steps.clean_steps(panel, key), key, trailing)
+    last = panel.groupBy(*key).agg(F.count("*").alias("rows"), F.max_by("value", "date").alias("last"))
+    cells = horizons.select(*key, F.greatest("horizon", F.lit(1)).alias("s"), "horizon").join(steps.moments(s, key), key, "left").join(last, key, "left")
+    pairs = steps.correlations(steps.aligned(s, ["unit"]), ["unit"]).withColumn("corr", F.when(F.col("n") > 20, F.col("corr")).otherwise(0.0))
+    loads = factors(pairs)
+    assets = cells.select(*key).distinct()
+    loads = loads.unionByName(assets.join(loads, key, "left_anti").select(*key, F.col("asset").alias("other"), F.lit(1.0).alias("load")))
+    # sums of correlated steps are loads of sums: a path an asset and draw, read at the unit's horizons
+    walks = loads.select("unit", "other").distinct().join(cells.groupBy("unit").agg(F.sort_array(F.collect_set("s")).alias("ss")), "unit")
+    z = F.transform(F.sequence(F.lit(1), F.array_max("ss")), lambda t: normal(F.lit(seed), F.col("draw"), t, F.col("other")))
+    walks = draw_ids(walks, n_draws).withColumn("z", z).select("unit", "other", "draw", "z", F.explode("ss").alias("s"))
+    walks = walks.select("unit", "other", "draw", "s", F.aggregate(F.slice("z", F.lit(1), F.col("s")), F.lit(0.0), lambda a, x: a + x).alias("w"))
+    moves = walks.join(loads, ["unit", "other"]).groupBy(*key, "s", "draw").agg(F.sum(F.col("load") * F.col("w")).alias("w"))
+    anchor = F.when(F.col("rows") >= 2, F.coalesce("last", F.lit(0.0))).otherwise(0.0)
+    sd = F.when(F.col("n") > 0, F.greatest("sd_pop", F.lit(1e-6))).otherwise(1.0)
+    value = anchor + F.coalesce("mean", F.lit(0.0)) * F.col("s") + sd * F.col("w")
+    return cells.join(moves, [*key, "s"]).select(*key, "horizon", "draw", value.alias("value"))
 
 
 def bootstrap_rows(weights: DataFrame, n_draws: int, n_steps: int, block: float, seed: int) -> DataFrame:

@@ -34,6 +34,12 @@ def with_gaps(panel: DataFrame, by: Sequence[str]) -> DataFrame:
     ).withColumn("back", F.col("n") - F.col("rn") + 1)
 
 
+def trailing_rows(rows: DataFrame, by: Sequence[str], n: int = 300) -> DataFrame:
+    """The last ``n`` rows of each series by date; a shorter series whole."""
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("date")))
+    return rows.withColumn("_back", back).where(F.col("_back") <= n).drop("_back")
+
+
 def gap_limits(panel: DataFrame, by: Sequence[str], trailing: int | None = None, factor: float = 10.0, floor: float = 5.0) -> DataFrame:
     """with_gaps and ``hole``: a gap of more than max(factor x median gap, floor) days. The median is over the last
     ``trailing`` gaps, or all. Series of fewer than three rows, or with a median of zero, have no holes."""

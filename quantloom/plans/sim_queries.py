@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom.functions.rng import unit_seed
-from quantloom.operators import overlay, simulate, steps
+from quantloom.operators import overlay, panel, simulate, steps
 from quantloom.plans.relations import DRAWS, FX, MONTHLY, SHIPMENTS, draws, fx, monthly, shipments, with_ctes
 from quantloom.plans.score_queries import U01
 from quantloom.plans.series_queries import gaps, sigmas
@@ -16,6 +16,7 @@ from quantloom.session import table
 KEY = ["unit", "asset"]
 CELL = [*KEY, "horizon"]
 N_DRAWS = 200
+M0_DRAWS = 500
 
 
 def _r(name: str, digits: int = 6):
@@ -55,11 +56,18 @@ def walk_monthly_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m0_draws(spark: SparkSession, d: str) -> DataFrame:
-    s = steps.aligned(steps.clean_steps(fx(spark, d), KEY), ["unit"])
+    """The text-blind baseline: mean, covariance and anchor of the last 300 rows at or before the card's as-of, on the dates that
+    all assets of a card share. Cards without a readable as-of, or with fewer than two such dates, have none."""
+    cards = table(spark, d, "task_cards").select(F.col("card_id").alias("unit"), F.col("asof").try_cast("date").alias("cut"), "horizons")
+    p = steps.trailing_rows(panel.as_of(fx(spark, d).join(cards.select("unit", "cut"), "unit"), F.col("cut")), KEY)
+    s = steps.aligned(steps.clean_steps(p, KEY), ["unit"])
+    last = p.groupBy(*KEY).agg(F.max_by("value", "date").alias("anchor"))
+    m = steps.moments(s, KEY).where("n >= 2").join(last, KEY).join(cards.select("unit", F.explode("horizons").alias("horizon")), "unit")
+    cells = m.select(*CELL, "anchor", F.col("mean").alias("drift"), F.col("sd_samp").alias("sd"), "n")
     cov = steps.correlations(s, ["unit"]).select("unit", "a", "b", "cov").unionByName(
         s.groupBy("unit", F.col("asset").alias("a")).agg(F.var_samp("step").alias("cov")).select("unit", "a", F.col("a").alias("b"), "cov")
     )
-    return _summary(simulate.covariance_draws(_moments(spark, d), cov, N_DRAWS, 7), CELL)
+    return _summary(simulate.covariance_draws(cells, cov, M0_DRAWS, 7), CELL)
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:

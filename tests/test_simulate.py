@@ -1,3 +1,4 @@
+import datetime
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.rng import normal, uniform, unit_seed
-from quantloom.operators import overlay, simulate
+from quantloom.operators import overlay, simulate, steps
 
 MOM = "unit string, asset string, horizon int, anchor double, drift double, sd double, n int"
 
@@ -58,6 +59,13 @@ def test_covariance_draws(spark):
     assert abs(r[0] - 0.8) < 0.06 and abs(r[1] - 0.6) < 0.06 and abs(r[2] - 3) < 0.05
 
 
+def test_a_wide_asset_leaves_the_others_alone(spark):
+    m = spark.createDataFrame([("u", a, 1, 1.0, 0.0, 0.0, 9) for a in "AB"], MOM)
+    cov = spark.createDataFrame([("u", "A", "A", 1e8), ("u", "B", "B", 1e-6), ("u", "A", "B", 0.0)], "unit string, a string, b string, cov double")
+    r = simulate.covariance_draws(m, cov, 2000, 7).where("asset = 'B'").agg(F.stddev("value")).first()
+    assert abs(r[0] - 1e-3) < 1e-4
+
+
 def test_blocks_follow_in_a_circle(spark):
     w = spark.createDataFrame([("u", i, float(i == 8)) for i in range(10)], "unit string, row int, weight double")
     rows = simulate.bootstrap_rows(w, 200, 12, 4.0, 5).orderBy("draw", "t").collect()
@@ -100,3 +108,48 @@ def test_branches_take_their_share_of_any_number_of_draws(spark):
     for h, n1, n2 in ((1, 750, 300), (2, 2, 1)):  # halves go to the even number
         up, down = ({r.draw for r in out if r.horizon == h and side * r.value > 50} for side in (1, -1))
         assert up == set(range(n1)) and down == set(range(n1, n1 + n2))
+
+
+def _two_regimes(n_old: int, n_new: int):
+    """Steps of +5 and then of +1 and -1 in turn about 0.5 a day, by asset."""
+    day = datetime.date(2010, 1, 1)
+    rows = []
+    for asset, sign in (("A", 1.0), ("B", -1.0)):
+        value = 100.0
+        for i in range(n_old + n_new):
+            value += sign * (5.0 if i < n_old else 0.5 + (-1) ** i)
+            rows.append(("c1", asset, day + datetime.timedelta(i), value))
+    return rows
+
+
+def test_last_rows_of_a_series(spark):
+    p = spark.createDataFrame(_two_regimes(50, 310) + [("c2", "A", datetime.date(2010, 1, 1), 1.0)], "unit string, asset string, date date, value double")
+    got = {(r.unit, r.asset): (r.n, str(r.d)) for r in steps.trailing_rows(p, ["unit", "asset"]).groupBy("unit", "asset").agg(F.count("*").alias("n"), F.min("date").alias("d")).collect()}
+    assert got == {("c1", "A"): (300, "2010-03-02"), ("c1", "B"): (300, "2010-03-02"), ("c2", "A"): (1, "2010-01-01")}
+
+
+def test_baseline_is_of_the_last_rows_before_the_as_of(spark, tmp_path):
+    from quantloom.plans import sim_queries
+
+    rows = _two_regimes(400, 320)
+    cut = rows[719][2]
+    later = [("c1", a, cut + datetime.timedelta(i), 9999.0 * i) for a in "AB" for i in (1, 2)]
+    g10 = [(u, a, str(t), v + 5000.0) for u, a, t, v in rows + later]
+    spark.createDataFrame(g10, "card_id string, asset string, date string, value double").write.parquet(f"{tmp_path}/g10_daily.parquet")
+    spark.createDataFrame([("c1", str(cut), [4])], "card_id string, asof string, horizons array<int>").write.parquet(f"{tmp_path}/task_cards.parquet")
+    got = {r.asset: r for r in sim_queries.m0_draws(spark, str(tmp_path)).collect()}
+    anchors = {a: v + 5000.0 for u, a, t, v in rows if t == cut}
+    for asset, sign in (("A", 1.0), ("B", -1.0)):
+        assert got[asset].n == 500 and abs(got[asset].sd_value - 2) < 0.25
+        assert abs(got[asset].mean_value - (anchors[asset] + sign * 2)) < 0.4
+
+
+def test_gaussian_floor(spark):
+    p = spark.createDataFrame(_two_regimes(400, 320), "unit string, asset string, date date, value double")
+    h = spark.createDataFrame([("c1", a, n) for a in "AB" for n in (4, 16)] + [("c1", "C", 4)], "unit string, asset string, horizon int")
+    out = simulate.gaussian_floor(p, h, 3000, 1)
+    w = out.groupBy("draw").pivot("horizon", [4, 16]).agg(*(F.max(F.when(F.col("asset") == a, F.col("value"))).alias(a) for a in "ABC"))
+    last = {r.asset: r.v for r in p.groupBy("asset").agg(F.max_by("value", "date").alias("v")).collect()}
+    r = w.select(F.avg("4_A"), F.stddev("4_A"), F.stddev("16_A"), F.corr("4_A", "16_A"), F.corr("16_A", "16_B"), F.avg("16_B"), F.avg("4_C"), F.stddev("4_C")).first()
+    assert abs(r[0] - last["A"] - 2) < 0.2 and abs(r[1] - 2) < 0.1 and abs(r[2] - 4) < 0.2 and abs(r[3] - 0.5) < 0.05
+    assert r[4] < -0.99 and abs(r[5] - last["B"] + 8) < 0.3 and abs(r[6]) < 0.2 and abs(r[7] - 2) < 0.1
