@@ -19,6 +19,8 @@ from quantloom.operators import steps
 
 #: The seeds by which the five named adapters differ.
 ADAPTER_SEEDS = {"theta_arima": 1, "chronos": 11, "timesfm": 22, "lag_llama": 33, "moirai": 44}
+#: Fixed value: a pool of so many sigmas or fewer isn't drawn from.
+MIN_POOL = 30
 
 
 def draw_ids(cells: DataFrame, n_draws: int) -> DataFrame:
@@ -179,22 +181,37 @@ def bootstrap_rows(weights: DataFrame, n_draws: int, n_steps: int, block: float,
 def bootstrap_paths(picks: DataFrame, z: DataFrame, models: DataFrame, horizons: Sequence[int], seed: int, min_rows: int = 5) -> DataFrame:
     """(unit, asset, horizon, draw, value): paths of the picked days' innovations, joint over assets, read at the horizons.
 
-    picks: (unit, draw, t, row); z: (unit, asset, row, z); models: (unit, asset, anchor, sigma, drift, phi, log_return).
-    A step is z sigma + drift, for returns log1p of it; each value keeps 1-phi of the path before. An asset without
-    ``min_rows`` innovations draws standard normals instead.
+    picks: (unit, draw, t, row); z: (unit, asset, row, z); models: (unit, asset, anchor, sigma, drift, phi, log_return) and, if
+    need be, sigma_pool ARRAY<DOUBLE>. A step is z sigma + drift, for returns log1p of it; each value keeps 1-phi of the path
+    before. An asset without ``min_rows`` innovations draws standard normals instead. An asset with a pool of more than
+    ``MIN_POOL`` sigmas draws one of them a draw, each with a chance in proportion to its size.
     """
     count = z.groupBy("unit", "asset").agg(F.count("z").alias("n_z"))
     models = models.join(count, ["unit", "asset"], "left")
-    rows = picks.join(models, "unit").join(z, ["unit", "asset", "row"], "left")
+    rows = picks.join(models.select("unit", "asset", "n_z"), "unit").join(z, ["unit", "asset", "row"], "left")
     own = F.when(F.coalesce("n_z", F.lit(0)) < min_rows, normal(F.lit(seed), F.col("draw"), F.col("t"), F.col("asset"))).otherwise(F.coalesce("z", F.lit(0.0)))
-    step = own * F.col("sigma") + F.col("drift")
-    step = F.when(F.col("log_return"), F.log1p(F.greatest(step, F.lit(-0.999999)))).otherwise(step)
-    path = rows.groupBy("unit", "asset", "draw").agg(F.sort_array(F.collect_list(F.struct("t", step.alias("x")))).alias("p"), *(F.max(k).alias(k) for k in ("anchor", "phi")))
-    path = path.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
-    end = F.aggregate(F.slice("p", F.lit(1), F.col("horizon")), F.lit(0.0), lambda a, s: a * (1 - F.col("phi")) + s["x"])
+    path = rows.groupBy("unit", "asset", "draw").agg(F.sort_array(F.collect_list(F.struct("t", own.alias("z")))).alias("p"))
+    path = path.join(models, ["unit", "asset"]).withColumn("sigma", _pooled_sigma(seed) if "sigma_pool" in models.columns else F.col("sigma"))
+    path = path.select("unit", "asset", "draw", "p", "anchor", "sigma", "drift", "phi", "log_return", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
+
+    def step(s: Column) -> Column:
+        x = s["z"] * F.col("sigma") + F.col("drift")
+        return F.when(F.col("log_return"), F.log1p(F.greatest(x, F.lit(-0.999999)))).otherwise(x)
+
+    end = F.aggregate(F.slice("p", F.lit(1), F.col("horizon")), F.lit(0.0), lambda a, s: a * (1 - F.col("phi")) + step(s))
     return path.select("unit", "asset", "horizon", "draw", (F.col("anchor") + end).alias("value"))
 
 
+def _pooled_sigma(seed: int) -> Column:
+    """The first sigma of the pool at which its running sum passes a uniform share of the whole; sigma itself without a pool."""
+    pool = F.filter("sigma_pool", lambda x: x > 0)
+    total = F.aggregate(pool, F.lit(0.0), lambda a, x: a + x)
+    at = uniform(F.lit(seed), F.col("draw"), F.lit("sigma"), F.col("asset")) * total
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("s"))
+    found = F.aggregate(pool, start, lambda a, x: F.struct((a["c"] + x).alias("c"), F.coalesce(a["s"], F.when(a["c"] + x > at, x)).alias("s")))
+    return F.coalesce(F.when(F.size("sigma_pool") > MIN_POOL, found["s"]), F.col("sigma"))
+
+
 def pseudo_origins(n: Column, furthest: Column, keep: int = 14) -> Column:
     """Row numbers from max(n/5, 40) to n - furthest - 1, max(furthest + 2, 8) apart, the last ``keep`` of them."""
     first, last = F.greatest(F.floor(n / 5), F.lit(40)).cast("int"), (n - furthest - 2).cast("int")

@@ -83,6 +83,19 @@ def test_paths_of_an_asset_without_innovations_are_wide(spark):
     assert abs(got["A"][0] - 35) < 1e-9 and got["A"][1] < 1e-9 and abs(got["B"][1] - 10**0.5) < 0.3
 
 
+def test_sigmas_of_a_pool_are_drawn_by_their_size(spark):
+    picks = spark.createDataFrame([("u", i, t, t) for i in range(2000) for t in range(2)], "unit string, draw int, t int, row int")
+    z = spark.createDataFrame([("u", a, i, 1.0) for a in "ABC" for i in range(9)], "unit string, asset string, row int, z double")
+    pool = [1.0] * 30 + [10.0] * 3
+    models = [("u", "A", 5.0, 2.0, 0.0, 0.0, False, pool), ("u", "B", 5.0, 2.0, 0.0, 0.0, False, pool[:30]), ("u", "C", 5.0, 2.0, 0.0, 0.0, False, None)]
+    models = spark.createDataFrame(models, "unit string, asset string, anchor double, sigma double, drift double, phi double, log_return boolean, sigma_pool array<double>")
+    rows = simulate.bootstrap_paths(picks, z, models, (1, 2), 5).collect()
+    got = {(a, h): {r.draw: r.value - 5 for r in rows if (r.asset, r.horizon) == (a, h)} for a in "ABC" for h in (1, 2)}
+    assert set(got["A", 1].values()) == {1.0, 10.0} and all(got["A", 2][i] == 2 * x for i, x in got["A", 1].items())  # one sigma a draw
+    assert abs(sum(x == 10 for x in got["A", 1].values()) / 2000 - 0.5) < 0.04
+    assert set(got["B", 1].values()) == {2.0} == set(got["C", 1].values())
+
+
 def test_transfer_scale_with_a_zero_anchor(spark):
     m = spark.createDataFrame([("u", "A", 0.0, 1.0, None, 0.2, 2.0), ("u", "B", 10.0, 1.0, 3.0, 0.0, 9.0)], "unit string, asset string, anchor double, sigma double, s75 double, basket double, ratio double")
     got = {r.asset: r.sigma_out for r in simulate.transfer_scale(m).collect()}
