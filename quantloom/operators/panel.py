@@ -87,15 +87,18 @@ def value_at(panel: DataFrame, points: DataFrame, by: Sequence[str]) -> DataFram
     return both.where("_side = 1").select(*keys, F.col("_t").alias("at"), "found")
 
 
-def carried_forward(panel: DataFrame, days: DataFrame, by: Sequence[str], reach: int = 3) -> DataFrame:
+def carried_forward(panel: DataFrame, days: DataFrame, by: Sequence[str], reach: int = 3, unit: Sequence[str] = ("unit",), most_missing: int = 1) -> DataFrame:
     """(by..., date, value, carried): every day of ``days`` (date, n: its number) between a series' first and last, a
-    missing value taken from at most ``reach`` days before."""
+    missing value taken from at most ``reach`` days before. A day on which more than ``most_missing`` of a unit's series, within
+    their own first and last, still have none is left out for all of them."""
     keys = list(by)
     span = panel.groupBy(*keys).agg(F.min("date").alias("a"), F.max("date").alias("b"))
     grid = span.select(*keys, F.explode(F.sequence("a", "b")).alias("date")).join(F.broadcast(days.select("date")), "date")
     rows = grid.join(panel.select(*keys, "date", "value"), [*keys, "date"], "left")
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-reach, 0)
-    return rows.select(*keys, "date", F.last("value", ignorenulls=True).over(w).alias("value"), F.col("value").isNull().alias("carried"))
+    filled = rows.select(*keys, "date", F.last("value", ignorenulls=True).over(w).alias("value"), F.col("value").isNull().alias("carried"))
+    missing = F.count_if(F.col("value").isNull()).over(Window.partitionBy(*unit, "date"))
+    return filled.withColumn("_missing", missing).where(F.col("_missing") <= most_missing).drop("_missing")
 
 
 def business_day(day: Column, h: int) -> Column:

@@ -65,7 +65,8 @@ def value_at_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def locf_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Open days between a series' first and last, filled from at most three open days before."""
+    """Open days between a series' first and last, filled from at most three open days before; days on which two or more of a
+    card's series stay missing are left out."""
     days = table(spark, d, "market_days").where("is_open").select(F.col("obs_day").cast("date").alias("date"))
     filled = panel.carried_forward(fx(spark, d), days, KEY)
     return filled.groupBy(*KEY).agg(F.count("*").alias("n_days"), F.count_if(F.col("carried") & F.col("value").isNotNull()).alias("n_carried"), F.round(F.sum("value"), 4).alias("total"))

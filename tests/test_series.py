@@ -99,3 +99,16 @@ def test_first_panel_and_last_row_of_a_day(spark):
     df = spark.createDataFrame(rows, "panel_id string, asset string, date date, value double, row_no int")
     got = sorted((r.panel_id, r.asset, r.value) for r in panel.first_panel_series(df, F.lit("2020-02-01").cast("date")).collect())
     assert got == [("a", "x", 3.0), ("b", "y", 4.0)]
+
+
+def test_days_of_a_common_outage_are_left_out(spark):
+    day = lambda i: dt.date(2024, 1, i)
+    rows = [(u, a, day(i), float(i)) for u, a in (("u", "A"), ("u", "B"), ("u", "C"), ("v", "A")) for i in range(1, 13) if (i != 9 if a == "C" else i in (1, 2, 8, 9, 10, 11, 12))]
+    p = spark.createDataFrame(rows, "unit string, asset string, date date, value double")
+    days = spark.createDataFrame([(day(i),) for i in range(1, 13)], "date date")
+    got = {}
+    for r in panel.carried_forward(p, days, ["unit", "asset"]).collect():
+        got.setdefault((r.unit, r.asset), {})[r.date.day] = (r.value, r.carried)
+    # A and B of u are both missing on 6 and 7, three days after the last value; of v only one series is
+    assert all(sorted(got["u", a]) == [1, 2, 3, 4, 5, 8, 9, 10, 11, 12] for a in "ABC") and sorted(got["v", "A"]) == list(range(1, 13))
+    assert got["u", "A"][5] == (2.0, True) and got["u", "C"][9] == (8.0, True) and got["v", "A"][6] == (None, True)
