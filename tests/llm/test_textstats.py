@@ -1,6 +1,6 @@
 import pytest
 
-from quantloom.llm.textstats import Rules, not_prose, shares, statistics, text_statistics
+from quantloom.llm.textstats import FIELDS, Rules, not_prose, shares, statistics, text_statistics
 
 PROSE = "The committee judged that activity had continued to expand, and that prices were likely to rise. "
 SHAPES = {
@@ -75,3 +75,16 @@ def test_tables(spark):
     got = text_statistics(df)
     assert got.count() == 4 and [tuple(r) for r in not_prose(df).collect()] == [(2, "junk")]
     assert text_statistics(df.limit(0)).count() == 0
+
+
+def test_a_block_that_repeats_one_sentence_counts_among_varied_prose():
+    varied = (
+        "The old harbour was closed after a storm had broken its northern wall. Fishermen from three villages then sold "
+        "their catch at the railway bridge, where buyers from town waited every morning. Nobody could say when repairs "
+        "would begin, for money had run out and winter is near."
+    )
+    text = varied + "\n\n" + "We have seen that it was what they would have said then. " * 8
+    parts = shares(text)
+    assert parts["junk"] > parts["prose"] > 0
+    got = dict(zip((n for n, _ in FIELDS), statistics(text, Rules())))
+    assert got["shape"] == "junk" and "running sentences" in got["failed"] and abs(got["junk_share"] - parts["junk"] / sum(parts.values())) < 1e-12
