@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,40 +138,70 @@ def leaked_passages(documents: DataFrame, items: DataFrame, n: int = 13) -> Data
     return found.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("n_windows").alias("n_windows"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], grams: list[NgramSet]) -> Iterator[pa.RecordBatch]:
+def _without(text: str, own: set[tuple[int, int]]) -> tuple[str, int]:
+    """A text without the words of the spans (first, end), and how many they are."""
+    # lower() may change a text's length; positions are then those of the lowered text.
+    low = text.lower()
+    base = text if len(low) == len(text) else low
+    words = list(WORD.finditer(low))
+    gone = sorted({w for a, z in own for w in range(a, z)})
+    out, at, k = [], 0, 0
+    while k < len(gone):
+        j = k
+        while j + 1 < len(gone) and gone[j + 1] == gone[j] + 1:
+            j += 1
+        out.append(base[at : words[gone[k]].start()])
+        at, k = words[gone[j]].end(), j + 1
+    return "".join(out) + base[at:], len(gone)
+
+
+def _hit_spans(texts: list[str | None], grams: NgramSet) -> dict[int, set[tuple[int, int]]]:
+    spans: dict[int, set[tuple[int, int]]] = {}
+    for text, first, size, _ in grams.hits(texts):
+        spans.setdefault(text, set()).add((first, first + size))
+    return spans
+
+
+def _cut(batches: Iterator[pa.RecordBatch], grams: NgramSet | None) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, text) or, without ``grams``, (doc_id, text, spans), the spans taken out of the texts."""
     for b in batches:
         texts = b.column(1).to_pylist()
-        spans: dict[int, set[tuple[int, int]]] = {}
-        for g in grams:
-            for text, first, size, _ in g.hits(texts):
-                spans.setdefault(text, set()).add((first, first + size))
+        if grams is None:
+            spans = {i: {(x["first"], x["end"]) for x in own} for i, own in enumerate(b.column(2).to_pylist()) if own}
+        else:
+            spans = _hit_spans(texts, grams)
         removed = [0] * len(texts)
         for i, own in spans.items():
-            # lower() may change a text's length; positions are then those of the lowered text.
-            low = texts[i].lower()
-            base = texts[i] if len(low) == len(texts[i]) else low
-            words = list(WORD.finditer(low))
-            gone = sorted({w for a, z in own for w in range(a, z)})
-            out, at, k = [], 0, 0
-            while k < len(gone):
-                j = k
-                while j + 1 < len(gone) and gone[j + 1] == gone[j] + 1:
-                    j += 1
-                out.append(base[at : words[gone[k]].start()])
-                at, k = words[gone[j]].end(), j + 1
-            texts[i], removed[i] = "".join(out) + base[at:], len(gone)
+            texts[i], removed[i] = _without(texts[i], own)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_words_removed"])
 
 
+def _spans(batches: Iterator[pa.RecordBatch], grams: NgramSet) -> Iterator[pa.RecordBatch]:
+    """(h, first, end) of the hits in batches (h, text)."""
+    for b in batches:
+        rows = [(i, *s) for i, own in _hit_spans(b.column(1).to_pylist(), grams).items() for s in own]
+        if rows:
+            at, first, end = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(first, pa.int64()), pa.array(end, pa.int64())], ["h", "first", "end"])
+
+
 def without_passages(documents: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     """Rows (doc_id, text, n_words_removed): every document, its leaked passages taken out of the text.
 
-    Null texts stay null. All blocks of items are held by a task at once here; for more than BLOCK_NGRAMS n-grams
-    a ValueError says so, and the documents of :func:`leaked_passages` can be dropped instead.
+    Null texts stay null. Items of one block are cut in the scan that finds them. Of several, each block's spans are found
+    by a scan of its own, joined to the documents by a SHA-256 of their text, and cut in one last pass.
     """
-    blocks = list(_blocks(items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text"), n))
-    if len(blocks) > 1:
-        raise ValueError("too many items to cut passages in one scan; drop the documents of leaked_passages")
-    grams = [NgramSet([(r.item_id, r.item_text) for r in block], n) for block in blocks]
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda b: _cut(b, grams), "doc_id bigint, text string, n_words_removed bigint")
+    schema = "doc_id bigint, text string, n_words_removed bigint"
+    blocks = _blocks(items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text"), n)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        grams = NgramSet([(r.item_id, r.item_text) for r in first], n)
+        return rows.mapInArrow(lambda b: _cut(b, grams), schema)
+    keyed, found = rows.withColumn("h", F.sha2("text", 256)), None
+    texts = keyed.where("text is not null").select("h", "text")
+    for block in chain([first, second], blocks):
+        part = texts.mapInArrow(lambda b, g=NgramSet([(r.item_id, r.item_text) for r in block], n): _spans(b, g), "h string, first bigint, end bigint")
+        found = part if found is None else found.unionByName(part)
+    spans = found.groupBy("h").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    return keyed.join(spans, "h", "left").select("doc_id", "text", "spans").mapInArrow(lambda b: _cut(b, None), schema)

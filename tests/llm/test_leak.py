@@ -67,3 +67,17 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b", 0)], ITEMS)
     assert leaked_passages(none, items).count() == 0
     assert leaked_passages(spark.createDataFrame([(1, "a b", 0, "")], DOCS), items.limit(0)).count() == 0
+
+
+def test_cutting_with_several_blocks_of_items_equals_cutting_with_one(spark, rows, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    items = [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(8)]
+    texts = ["start " + " ".join(words[10:75]) + " end", "nothing", None, " ".join(words[20:40]) + " İ kept " + " ".join(words[100:120])]
+    docs = spark.createDataFrame([(i % 3 if i else None, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, item_text string")
+    one = rows(without_passages(docs, it))
+    assert sum(r[2] for r in one) > 0
+    monkeypatch.setattr(leak, "BLOCK_NGRAMS", 100)
+    assert len(list(leak._blocks(it, 13))) > 2
+    assert rows(without_passages(docs, it)) == one
+    assert rows(without_passages(docs, it.limit(0))) == sorted(((i % 3 if i else None, t, 0) for i, t in enumerate(texts + texts)), key=repr)
