@@ -62,7 +62,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return text_statistics(table(spark, d, "documents")).select("doc_id", "n_words", "n_lines", "mean_word_length", "prose_share", "failed", "shape")
+    shares = ("mean_word_length", "symbols_per_word", "final_punctuation_lines", "bullet_lines", "ellipsis_lines", "alphabetic_words", "common_words")
+    return text_statistics(table(spark, d, "documents")).select("doc_id", "n_words", "n_lines", *(F.round(x, 6).alias(x) for x in shares))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_statistics)}
+def p8_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that each document fails, and what most of it is."""
+    return text_statistics(table(spark, d, "documents")).select("doc_id", F.round("prose_share", 6).alias("prose_share"), "failed", "run_rule", "shape")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_statistics, p8_failures)}

@@ -1,6 +1,16 @@
+import random
+
+import pyarrow as pa
 import pytest
 
-from quantloom.llm.textstats import FIELDS, Rules, not_prose, shares, statistics, text_statistics
+from quantloom.llm import textstats
+from quantloom.llm.textstats import COMMON, not_prose, text_statistics
+
+
+def measure(*texts):
+    return textstats.measure(pa.array(texts, pa.string())).to_pylist()
+
+
 
 PROSE = "The committee judged that activity had continued to expand, and that prices were likely to rise. "
 SHAPES = {
@@ -52,22 +62,66 @@ SHAPES = {
 }
 
 
+LANGUAGES = {
+    "pl": "Rada postanowiła pozostawić stopy procentowe bez zmian. Inflacja obniżyła się w ostatnim kwartale, ale ceny usług nadal rosną. Członkowie komitetu uznali, że ryzyko pozostaje wysokie. ",
+    "tr": "Merkez bankası faiz oranını değiştirmedi. Enflasyon son çeyrekte düştü ancak hizmet fiyatları artmaya devam ediyor. Kurul üyeleri risklerin yüksek kaldığını belirtti. ",
+    "ru": "Совет директоров сохранил ключевую ставку без изменений. Инфляция снизилась в последнем квартале, но цены на услуги растут. Члены комитета отметили, что риски остаются высокими. ",
+    "zh": "委员会决定维持利率不变。上个季度通货膨胀率有所下降，但服务价格继续上涨。成员们认为风险仍然很高。",
+    "ja": "理事会は政策金利を据え置くことを決定した。前四半期にインフレ率は低下したが、サービス価格は上昇し続けている。委員はリスクが依然として高いと判断した。",
+    "nl": "De raad heeft besloten de rente niet te wijzigen. De inflatie daalde in het laatste kwartaal, maar de prijzen van diensten blijven stijgen. Leden van het comité vonden dat het risico hoog blijft. ",
+    "ar": "قرر المجلس الإبقاء على أسعار الفائدة دون تغيير. انخفض التضخم في الربع الأخير لكن أسعار الخدمات ما زالت ترتفع. ",
+    "hi": "समिति ने ब्याज दर में कोई बदलाव नहीं किया। पिछली तिमाही में महंगाई घटी लेकिन सेवाओं की कीमतें बढ़ती रहीं। ",
+    "ko": "위원회는 금리를 동결하기로 결정했다. 지난 분기에 물가 상승률은 낮아졌지만 서비스 가격은 계속 오르고 있다. ",
+}
+
+
 @pytest.mark.parametrize("shape, text", [(k, t) for k, texts in SHAPES.items() for t in texts])
 def test_shapes(shape, text):
-    assert statistics(text, Rules())[-1] == shape, shares(text)
+    got = measure(text)[0]
+    assert got["shape"] == shape, got
+    assert (got["shape"] != "prose") == ("running sentences" in got["failed"])
+
+
+@pytest.mark.parametrize("text", [t * k for t in LANGUAGES.values() for k in (1, 3)])
+def test_prose_of_any_language(text):
+    assert measure(text)[0]["shape"] == "prose", measure(text)
 
 
 def test_statistics_and_reasons():
-    n, lines, mean, *_ = statistics("one two\n\n- three.", Rules())
-    assert (n, lines) == (4, 2) and mean == len("onetwo-three.") / 4
-    failed = statistics("\n".join(["- item a ..."] * 10), Rules())[-2]
-    assert {"too few words", "bullet lines", "ellipsis lines", "symbols per word", "running sentences"} <= set(failed)
-    assert statistics(PROSE * 4, Rules())[-2] == []
+    got = measure("one two\n\n- three.")[0]
+    assert (got["n_words"], got["n_lines"]) == (4, 2) and got["mean_word_length"] == len("onetwo-three.") / 4
+    got = measure("\n".join(["- item a ..."] * 10))[0]
+    assert {"too few words", "bullet lines", "ellipsis lines", "symbols per word", "running sentences"} <= set(got["failed"])
+    assert got["run_rule"] == "bullets"
+    assert measure(PROSE * 4)[0]["failed"] == [] and measure(PROSE * 4)[0]["run_rule"] is None
 
 
 def test_very_long_text():
-    assert statistics(PROSE * 20_000, Rules())[0] == 16 * 20_000
-    assert statistics("x" * 2_000_000, Rules())[-1] == "junk"
+    assert measure(PROSE * 20_000)[0]["n_words"] == 16 * 20_000
+    assert measure("x" * 2_000_000)[0]["shape"] == "junk"
+
+
+def test_a_text_has_the_same_statistics_alone_and_among_others():
+    draw = random.Random(4)
+    pool = [x for texts in SHAPES.values() for x in texts] + list(LANGUAGES.values())
+    marks = ["\n", "\n\n", "\r\n", " ", "\t", "> ", "… ", " – ", "{", "<b>", "[ ] ", "#", "1,234.5 ", "é", "\u200b", ",", ";", "\x0b"]
+    texts = []
+    for _ in range(150):
+        pieces = []
+        for _ in range(draw.randrange(6)):
+            x = draw.choice(pool)
+            at = draw.randrange(len(x) + 1)
+            pieces += [x[at : at + draw.randrange(120)], draw.choice(marks)]
+        texts.append("".join(pieces))
+    assert measure(*texts) == [measure(x)[0] for x in texts]
+    for x, got in zip(texts, measure(*texts)):
+        assert 0 <= sum(got[f"{k}_share"] for k in ("prose", "list", "table", "junk")) <= 1 + 1e-9
+        if x.isascii() and ">" not in x:
+            words = x.split()
+            assert got["n_words"] == len(words), repr(x)
+            assert abs(got["mean_word_length"] * len(words) - sum(map(len, words))) < 1e-6
+            letters = "".join(c if c.isalpha() else " " for c in x.lower()).split()
+            assert abs(got["common_words"] - sum(w in COMMON for w in letters) / max(1, len(letters))) < 1e-9
 
 
 def test_tables(spark):
@@ -84,7 +138,6 @@ def test_a_block_that_repeats_one_sentence_counts_among_varied_prose():
         "would begin, for money had run out and winter is near."
     )
     text = varied + "\n\n" + "We have seen that it was what they would have said then. " * 8
-    parts = shares(text)
-    assert parts["junk"] > parts["prose"] > 0
-    got = dict(zip((n for n, _ in FIELDS), statistics(text, Rules())))
-    assert got["shape"] == "junk" and "running sentences" in got["failed"] and abs(got["junk_share"] - parts["junk"] / sum(parts.values())) < 1e-12
+    got = measure(text)[0]
+    assert got["shape"] == "junk" and got["junk_share"] > got["prose_share"] > 0
+    assert "running sentences" in got["failed"] and got["run_rule"] == "repeated words"
