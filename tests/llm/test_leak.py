@@ -44,11 +44,27 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute(docs, items)
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_a_set_too_large_to_be_sent_gives_the_same(spark, rows, monkeypatch):
     docs, items = make()
-    monkeypatch.setattr(leak, "BLOCK_NGRAMS", 60)
-    got = leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).select("doc_id", "item_id")
-    assert sorted(map(tuple, got.collect())) == brute(docs, items)
+    args = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    sent = rows(leaked_passages(*args))
+    monkeypatch.setattr(leak, "BROADCAST_WORDS", 10)
+    for bits in (28, 8):  # a filter that nearly all windows pass changes nothing
+        monkeypatch.setattr(leak, "FILTER_BITS", bits)
+        assert rows(leaked_passages(*args)) == sent
+
+
+def test_ten_megabytes_of_items(spark):
+    draw = np.random.default_rng(6)
+    vocabulary = np.array([f"v{k:x}" for k in range(30_000)])
+    items = [(j, " ".join(vocabulary[draw.integers(0, 30_000, 2000)])) for j in range(1000)]
+    assert sum(len(t) for _, t in items) > 9_000_000
+    docs = [(i, f"{i} own words " + " ".join(items[7 * i][1].split()[100 : 111 + i % 4]) + " end") for i in range(100)]
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    found = leaked_passages(docs_df, items_df).select("doc_id", "item_id", "first_word", "end_word", "n_windows").collect()
+    assert sorted(map(tuple, found)) == [(i, 7 * i, 3, 14 + i % 4, i % 4 - 1) for i in range(100) if i % 4 >= 2]
+    clean = {r.doc_id: r for r in without_passages(docs_df, items_df).collect()}
+    assert all(clean[i].text == (f"{i} own words  end" if i % 4 >= 2 else docs[i][1]) for i in range(100))
 
 
 def test_windows_do_not_cross_documents(spark):
@@ -69,7 +85,7 @@ def test_empty(spark):
     assert leaked_passages(spark.createDataFrame([(1, "a b", 0, "")], DOCS), items.limit(0)).count() == 0
 
 
-def test_cutting_with_several_blocks_of_items_equals_cutting_with_one(spark, rows, monkeypatch):
+def test_cutting_with_a_set_too_large_to_be_sent(spark, rows, monkeypatch):
     words = [f"w{i}" for i in range(200)]
     items = [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(8)]
     texts = ["start " + " ".join(words[10:75]) + " end", "nothing", None, " ".join(words[20:40]) + " İ kept " + " ".join(words[100:120])]
@@ -77,7 +93,7 @@ def test_cutting_with_several_blocks_of_items_equals_cutting_with_one(spark, row
     it = spark.createDataFrame(items, "item_id long, item_text string")
     one = rows(without_passages(docs, it))
     assert sum(r[2] for r in one) > 0
-    monkeypatch.setattr(leak, "BLOCK_NGRAMS", 100)
-    assert len(list(leak._blocks(it, 13))) > 2
+    monkeypatch.setattr(leak, "BROADCAST_WORDS", 10)
     assert rows(without_passages(docs, it)) == one
+    monkeypatch.undo()
     assert rows(without_passages(docs, it.limit(0))) == sorted(((i % 3 if i else None, t, 0) for i, t in enumerate(texts + texts)), key=repr)
