@@ -7,6 +7,13 @@ l AS (SELECT file, s, unnest(string_split(body_text, chr(10))) AS line, unnest(r
 k AS (SELECT file, s, line_no, regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\p{L}]', '', 'g') AS k FROM l),
 n AS (SELECT s, k FROM k WHERE length(k) >= 12 GROUP BY 1, 2 HAVING count(DISTINCT file) >= 6),
 f AS (SELECT file, line_no FROM k JOIN n USING (s, k))"""
+_BLOCKS = """c AS (SELECT file, s, k, lead(k) OVER (PARTITION BY file ORDER BY line_no) AS k2 FROM k WHERE length(k) >= 12),
+e AS (SELECT s, k, k2 FROM c WHERE k != k2 GROUP BY 1, 2, 3 HAVING count(DISTINCT file) >= 6),
+b AS (SELECT s, k AS x, k2 AS y FROM e UNION SELECT s, k2, k FROM e),
+r AS (SELECT s, k AS x, k AS y FROM n UNION SELECT r.s, r.x, b.y FROM r JOIN b ON b.s = r.s AND b.x = r.y),
+o AS (SELECT s, x AS k, min(y) AS block FROM r GROUP BY 1, 2),
+m AS (SELECT s, k, count(DISTINCT file) AS n FROM k JOIN n USING (s, k) GROUP BY 1, 2),
+z AS (SELECT s, block, count(*) AS n_lines, max(m.n) AS n_files FROM o JOIN m USING (s, k) GROUP BY 1, 2)"""
 
 _NGRAMS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items)),
@@ -14,6 +21,8 @@ g AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM
 sizes AS (SELECT DISTINCT n FROM g),
 x AS (SELECT DISTINCT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w JOIN sizes ON len(w) >= n)),
 h AS (SELECT DISTINCT doc_id, item_id FROM x JOIN g USING (n, g))"""
+_CUT = """places AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w JOIN sizes ON len(w) >= n)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM places SEMI JOIN g USING (n, g))"""
 
 
 
@@ -44,7 +53,13 @@ _SHARES = ", ".join(
 
 ORACLES = {
     "p3_found": f"WITH {_LINES} SELECT file, line_no FROM f",
+    "p3_blocks": f"WITH RECURSIVE {_LINES},\n{_BLOCKS} SELECT n_lines, n_files, count(*) AS n_blocks FROM z GROUP BY 1, 2",
+    "p3_cleaned": f"""WITH {_LINES}, t AS (SELECT file, count(*) AS n, list(line_no) AS taken FROM f GROUP BY 1)
+SELECT file, coalesce(n, 0) AS n_removed, CASE WHEN n IS NULL THEN length(body_text) ELSE length(array_to_string(list_transform(
+  list_filter(range(1, len(string_split(body_text, chr(10))) + 1), lambda i: NOT list_contains(taken, i)), lambda i: string_split(body_text, chr(10))[i]), chr(10))) END AS n_chars
+FROM corpus_files LEFT JOIN t USING (file)""",
     "p6_found": f"WITH {_NGRAMS} SELECT doc_id, item_id FROM h",
     "p6_leaked_items": f"WITH {_NGRAMS} SELECT item_id, count(*) AS n_documents FROM h GROUP BY 1",
+    "p6_cleaned": f"WITH {_NGRAMS},\n{_CUT} SELECT doc_id, count(*) AS n_words_removed FROM gone GROUP BY 1",
     "p8_statistics": f"WITH {_STATISTICS} SELECT doc_id, n AS n_words, m AS n_lines, {_SHARES} FROM c",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.leak import leaked_passages, without_passages
-from quantloom.llm.linegraph import repeated_lines, without_repeated_lines
+from quantloom.llm.linegraph import boilerplate_blocks, repeated_lines, without_repeated_lines
 from quantloom.llm.mixture import mix
 from quantloom.llm.template import furniture_lines, main_body
 from quantloom.llm.textstats import not_prose, text_statistics
@@ -27,6 +27,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "corpus_files"), table(spark, d, "corpus_index")).select("file", "line_no")
 
 
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """How many boilerplate blocks there are by their number of lines and the files of their most frequent line."""
+    blocks = boilerplate_blocks(table(spark, d, "corpus_files"), table(spark, d, "corpus_index"))
+    each = blocks.groupBy("block").agg(F.count("*").alias("n_lines"), F.max("n_files").alias("n_files"))
+    return each.groupBy("n_lines", "n_files").agg(F.count("*").alias("n_blocks"))
+
+
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """What taking the repeated lines out leaves of each file."""
     clean = without_repeated_lines(table(spark, d, "corpus_files"), table(spark, d, "corpus_index"))
@@ -71,4 +78,4 @@ def p8_failures(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents")).select("doc_id", F.round("prose_share", 6).alias("prose_share"), "failed", "run_rule", "shape")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_statistics, p8_failures)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_main_body, p3_found, p3_blocks, p3_cleaned, p6_found, p6_leaked_items, p6_cleaned, p7_mix, p7_shares, p8_found, p8_statistics, p8_failures)}

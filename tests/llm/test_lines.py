@@ -3,8 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quantloom.llm import linegraph
-from quantloom.llm.linegraph import connected_components, repeated_lines, without_repeated_lines
+from quantloom.llm.linegraph import boilerplate_blocks, connected_components, repeated_lines, without_repeated_lines
 
 FILES = "file string, body_text string, node string"
 INDEX = "file string, source string, line_no int"
@@ -33,9 +32,9 @@ def make():
     return [*files, ("null", None, "x"), ("alone", pool[2], "x")], [*index, ("gone", "source a", 0), ("none", None, 0)]
 
 
-@pytest.mark.parametrize("most", [500_000, -1])
-def test_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(linegraph, "BROADCAST_NODES", most)
+@pytest.mark.parametrize("most", ["10485760", "-1"])
+def test_against_brute_force(spark, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     files, index = make()
     got = repeated_lines(spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX))
     assert sorted((r.file, r.line_no) for r in got.collect()) == brute(files, index)
@@ -56,14 +55,16 @@ def test_lines_that_follow_each_other_are_a_block(spark):
     fs, ix = spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX)
     got = repeated_lines(fs, ix).where("file = 'f0'").orderBy("line_no").collect()
     assert [r.line_no for r in got] == [2, 3, 4, 6] and len({r.block for r in got[:3]}) == 1 and got[3].block != got[0].block
+    blocks = boilerplate_blocks(fs, ix).groupBy("block").count().collect()
+    assert sorted(r["count"] for r in blocks) == [1, 3] and {r.block for r in blocks} == {r.block for r in got}
     clean = without_repeated_lines(fs, ix).where("file = 'f0'").first()
     assert clean.body_text == "own text of number a here\nmore own text a here" and clean.n_removed == 4
 
 
 def test_components_of_a_long_chain(spark):
-    nodes = spark.range(300).select("id").withColumnRenamed("id", "node")
     edges = spark.createDataFrame([(i, i + 1) for i in range(299) if i != 120] + [(7, 3)], "x long, y long")
-    got = {r.node: r.block for r in connected_components(nodes, edges).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    got = {r.node: r.block for r in connected_components(edges).collect()}
     assert got == {i: 0 if i <= 120 else 121 for i in range(300)}
 
 
