@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 
-from quantloom.llm import template
 from quantloom.llm.template import furniture_lines, main_body
 
 FILES = "file string, body_text string, source string, host string"
@@ -36,10 +35,9 @@ def sites(spark, n_sites=6, n_pages=12):
     return spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX), want
 
 
-@pytest.mark.parametrize("most", [500_000, -1])
-def test_furniture_of_sites(spark, monkeypatch, most):
-    monkeypatch.setattr(template, "BROADCAST_ROWS", most)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if most < 0 else "10485760")
+@pytest.mark.parametrize("most", ["10485760", "-1"])
+def test_furniture_of_sites(spark, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     files, index, want = sites(spark)
     got = {(r.file, r.line_no) for r in furniture_lines(files, index).collect()}
     hit = len(got & want)
@@ -55,3 +53,30 @@ def test_nulls_empty_and_repeated(spark):
     assert furniture_lines(files, index).count() == 0
     assert main_body(files, index).count() == 5
     assert furniture_lines(files.limit(0), index.limit(0)).count() == 0
+
+
+def test_subtrees_that_recur_on_nearly_all_pages(spark):
+    """A line alone in the text, a block of two, a long section path; and a byline and notes on fewer pages, which stay."""
+    draw, files, want = np.random.default_rng(3), [], set()
+    own = lambda: " ".join(draw.choice(WORDS, 12)) + " " + "".join(chr(97 + x) for x in draw.integers(0, 26, 6)) + "."
+    path = "Home > " + " > ".join(["News"] * 3) + " > "
+    for p in range(60):
+        lines = [(path + " ".join(draw.choice(WORDS, 80)), True)] if p % 2 else []
+        lines += [(own(), False), *([("By the press desk", False)] if p % 2 else []), (own(), False), ("Share this article with a friend", True), (own(), False), ("", False)]
+        lines += [("We value your privacy", True), ("Accept all cookies", True), ("", False)] if p % 3 else [("", False)]
+        lines += [(own(), False), ("This site uses cookies to work", True), (own(), False), *([("Figures are rounded", False)] if p % 3 == 0 else []), (own(), False)]
+        lines += [("* * *", False), ("Home", True), ("--- 1 2 3 ---", True), ("News", True), ("© 2020", True)]
+        files.append((f"f{p}.txt", "\n".join(x for x, _ in lines), "", ""))
+        want |= {(f"f{p}.txt", i + 1) for i, (x, f) in enumerate(lines) if f and x}
+    index = [(f, "one site (press)", "") for f, *_ in files] + [("f0.txt", None, "")]
+    got = {(r.file, r.line_no) for r in furniture_lines(spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX)).collect()}
+    text = {(f, i + 1): x for f, t, *_ in files for i, x in enumerate(t.split("\n"))}
+    assert not {text[k] for k in want - got} and not {text[k] for k in got - want}
+
+
+def test_a_files_own_source_is_its_host(spark):
+    from quantloom.llm.template import _hosts
+
+    files = spark.createDataFrame([("a_1", "x", "", ""), ("a_2", "x", "", ""), ("a_3", "x", "", ""), ("b_1", "x", "", "")], FILES)
+    index = spark.createDataFrame([("a_1", "First (desk)", ""), ("a_2", "Second", "")], INDEX)
+    assert {r.file: r.host for r in _hosts(files, index).collect()} == {"a_1": "first", "a_2": "second", "a_3": "second", "b_1": "b"}
