@@ -85,7 +85,7 @@ def _round_chunks(key: tuple, part: pa.Table, seed: int) -> pa.Table:
     return part.set_column(part.schema.get_field_index("share"), "share", pa.array(share))
 
 
-SCHEMA = "doc_id bigint, source string, tokens bigint, whole bigint, share double, r bigint, chunk bigint"
+SCHEMA = "doc_id bigint, source string, tokens bigint, n_rows bigint, whole bigint, share double, r bigint, chunk bigint"
 
 
 def _rounded(rows: DataFrame, seed: int) -> DataFrame:
@@ -101,22 +101,24 @@ def mix(
     chunk_rows: int = 20_000,
     fan_in: int = 2_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """(copies, shares): rows (doc_id, source, tokens, copies) of the documents taken, and for each row of ``targets``
+    """(copies, shares): rows (doc_id, source, tokens, n_rows, copies) of the documents taken, and for each row of ``targets``
     (source, target_share, max_repeats) what was reached.
 
     ``total_tokens`` defaults to the tokens of all documents of the listed sources. A source whose documents,
     repeated ``max_repeats`` times, don't fill its share gives all that, and its shortfall stays open; shares
     reached are of the mix's own tokens. Every other source is within one document of its target. Defined
-    results: documents with null or empty text or an unlisted or null source are never taken; repeated rows are
-    separate documents; null doc_ids are kept; a source without documents, or with a null share or cap, reaches
+    results: documents with null or empty text or an unlisted or null source are never taken; null doc_ids are kept;
+    ``n_rows`` rows of one doc_id, source and size are one row here, whose copies are shared out among them as evenly as
+    can be, so that none is used more than ``max_repeats`` times; a source without documents, or with a null share or cap, reaches
     zero; an empty table gives an empty mix; other columns are ignored.
 
-    Documents are dealt to chunks by a hash, so a hot source has as many chunks as it needs, and a task never sees
-    more than about ``chunk_rows`` documents. Each chunk leaves one fractional document at most; ``fan_in`` of
+    Repeated rows are counted first, map-side, so a document with very many copies is one row. Documents are dealt to
+    chunks by a hash, so a hot source has as many chunks as it needs, and a task never sees more than about
+    ``chunk_rows`` documents. Each chunk leaves one fractional document at most; ``fan_in`` of
     them meet in a chunk of the next level.
     """
-    counted = written(token_counts(documents, targets, tokenizer))
-    have = counted.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("n_docs"))
+    counted = written(token_counts(documents, targets, tokenizer).groupBy("doc_id", "source", "tokens").agg(F.count("*").alias("n_rows")))
+    have = counted.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_rows")).alias("available"), F.sum("n_rows").alias("n_docs"))
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     goals = goals.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     plan = goals.join(F.broadcast(have), "source", "left").collect()  # a row for each target, a stated list
@@ -131,9 +133,8 @@ def mix(
     rate = F.broadcast(spark.createDataFrame(rates, "source string, rate double, chunks bigint"))
     r = F.xxhash64("doc_id", "tokens", "source", F.lit(seed))
     rows = counted.join(rate, "source").where("rate > 0").withColumn("r", r)
-    rows = rows.select(
-        "doc_id", "source", "tokens", F.floor("rate").cast("bigint").alias("whole"), (F.col("rate") - F.floor("rate")).alias("share"), "r", F.pmod(F.col("r"), F.col("chunks")).alias("chunk")
-    )
+    rate = F.col("rate") * F.col("n_rows")
+    rows = rows.select("doc_id", "source", "tokens", "n_rows", F.floor(rate).cast("bigint").alias("whole"), (rate - F.floor(rate)).alias("share"), "r", F.pmod(F.col("r"), F.col("chunks")).alias("chunk"))
     done, level, at = None, rows, 0
     while True:
         level = written(_rounded(level, seed + at))
@@ -147,7 +148,7 @@ def mix(
     # The tree's root may leave one fractional document a source: it is settled by a draw.
     last = F.pmod(F.xxhash64("r", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     copies = (F.col("whole") + F.when(F.col("share") > last, 1).otherwise(0)).alias("copies")
-    taken = done.select("doc_id", "source", "tokens", copies).where("copies > 0")
+    taken = done.select("doc_id", "source", "tokens", "n_rows", copies).where("copies > 0")
     used = taken.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"))
     per_target = goals.join(F.broadcast(have), "source", "left").join(F.broadcast(used), "source", "left")
     all_tokens = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy(F.lit(1)))  # a row for each target

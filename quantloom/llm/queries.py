@@ -57,7 +57,7 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].select("doc_id", "source", "tokens", "copies")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_shares_caps_and_tree(spark, data, chunk, fan):
     got = {r.source: r for r in shares.collect()}
     cap = {"big": 1, "mid-size": 3, "tiny": 2, "none": 4}
     rows = copies.collect()
-    assert all(1 <= r.copies <= cap[r.source] for r in rows)
+    assert all(1 <= r.copies <= cap[r.source] * r.n_rows for r in rows)
     assert {r.doc_id for r in rows}.isdisjoint({9001, 9002, 9003})
     total = sum(r.available_tokens for r in got.values())
     for name in ("big", "mid-size"):
@@ -61,3 +61,12 @@ def test_a_given_total_and_empty_tables(spark, data):
     copies, none = mix(docs.limit(0), goals)
     assert copies.count() == 0 and {r.tokens for r in none.collect()} == {0}
     assert TOKENIZER.endswith(".tiktoken")
+
+
+def test_copies_of_one_document_are_counted_first(spark):
+    docs = [(7, "the same words again", "a", "", 0)] * 400 + [(i, "other words here", "b", "", 0) for i in range(400)]
+    goals = spark.createDataFrame([("a", 0.25, 1, 0), ("b", 0.75, 2, 0)], GOALS)
+    rows = mix(spark.createDataFrame(docs, DOCS), goals, chunk_rows=50, fan_in=3)[0].collect()
+    a = [r for r in rows if r.source == "a"]
+    total = 400 * (a[0].tokens + [r for r in rows if r.source == "b"][0].tokens)
+    assert len(a) == 1 and a[0].n_rows == 400 and abs(a[0].copies * a[0].tokens - total / 4) <= a[0].tokens
