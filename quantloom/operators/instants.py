@@ -9,12 +9,15 @@ none that it is skipped, one gives the offset.
 from __future__ import annotations
 
 import datetime as dt
-import functools
 import zoneinfo
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.session import written
+
 DAY_US = 86_400_000_000
 
 #: Abbreviations and their offsets in minutes. BST is British Summer Time, IST that of India, CST that of North America.
@@ -47,48 +50,57 @@ SPELLINGS = {
 }
 
 
-@functools.lru_cache(maxsize=4)
-def _offset_intervals(first_year: int, last_year: int) -> list[tuple[str, int, int, int]]:
-    """(zone, start, end, offset) with UTC seconds [start, end) for every zone of the time zone database.
+def _utc_seconds(year: int, month: int = 1, day: int = 1) -> int:
+    return (dt.date(year, month, day).toordinal() - _EPOCH_DAY) * 86_400
 
-    Its size is bounded by that database and the years, whatever the data. The outermost intervals are open.
-    """
-    utc, step = dt.timezone.utc, 14 * 86_400
-    begin, stop = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (first_year, last_year + 1))
-    far, rows = 1 << 40, []
-    for name in sorted(zoneinfo.available_timezones()):
-        zone = zoneinfo.ZoneInfo(name)
 
-        def offset(at: int) -> int:
-            return int(dt.datetime.fromtimestamp(at, zone).utcoffset().total_seconds())
-
-        since, last = -far, offset(begin)
-        for at in range(begin, stop, step):
-            if (now := offset(at + step)) != last:
-                lo, hi = at, at + step  # the change lies in (lo, hi]
-                while hi - lo > 1:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
-                rows.append((name, since, hi, last))
-                since, last = hi, offset(hi)
-        rows.append((name, since, far, last))
+_EPOCH_DAY = dt.date(1970, 1, 1).toordinal()
+_UTC_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+_EARLIEST, _LATEST = _utc_seconds(1, 1, 3), _utc_seconds(9999, 12, 29)
+
+
+def _year_intervals(name: str, year: int) -> list[tuple[int, int, int]] | None:
+    """(local_from, local_to, offset), in local seconds and in order, of the offsets that a zone has in a year and three days
+    before and after; None for an unknown zone. A change is found to the second between the ends of a day."""
+    try:
+        zone = zoneinfo.ZoneInfo(name)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+        return None
+
+    def offset(at: int) -> int:
+        return int((_UTC_EPOCH + dt.timedelta(seconds=at)).astimezone(zone).utcoffset().total_seconds())
+
+    begin = max(_utc_seconds(year) - 3 * 86_400, _EARLIEST)
+    end = min(_utc_seconds(year, 12, 31) + 4 * 86_400, _LATEST)
+    rows, since, last = [], begin - 3 * 86_400, offset(begin)
+    for at in range(begin, end, 86_400):
+        if (now := offset(at + 86_400)) != last:
+            lo, hi = at, at + 86_400  # the change lies in (lo, hi]
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if offset(mid) == last else (lo, mid)
+            rows.append((since + last, hi + last, last))
+            since, last = hi, now
+    rows.append((since + last, end + 3 * 86_400 + last, last))
     return rows
 
 
-def zone_years(spark: SparkSession, first_year: int = 1970, last_year: int = 2040) -> DataFrame:
-    """Zone-offset intervals exploded over the local years that they touch: one row (zone, year, intervals) with
-    intervals an array of (local_from, local_to, offset) in local seconds, in order. Times outside the
-    years use the first or last interval's offset."""
-    base = spark.createDataFrame(_offset_intervals(first_year, last_year), "zone string, start bigint, end bigint, offset bigint")
-    local = base.select("zone", "offset", (F.col("start") + F.col("offset")).alias("local_from"), (F.col("end") + F.col("offset")).alias("local_to"))
+_INTERVALS = pa.list_(pa.struct([("local_from", pa.int64()), ("local_to", pa.int64()), ("offset", pa.int64())]))
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(z, y, x) for z, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (x := _year_intervals(z, y)) is not None]
+        intervals = pa.array([[dict(zip(("local_from", "local_to", "offset"), i)) for i in x] for *_, x in rows], _INTERVALS)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), intervals], ["zone", "year", "intervals"])
 
-    def year(at: Column, spread: int) -> Column:
-        days = F.greatest(F.least(F.floor(at / 86_400) + spread, F.lit(25_932)), F.lit(-1))
-        return F.greatest(F.least(F.year(F.date_from_unix_date(days.cast("int"))), F.lit(last_year)), F.lit(first_year))
 
-    # A day's margin on either side: a skipped time lies in no interval but must see both neighbours.
-    spread = local.withColumn("year", F.explode(F.sequence(year(F.col("local_from"), -2), year(F.col("local_to"), 2))))
-    return spread.groupBy("zone", "year").agg(F.sort_array(F.collect_list(F.struct("local_from", "local_to", "offset"))).alias("intervals"))
+def zone_years(places: DataFrame) -> DataFrame:
+    """Zone-offset intervals exploded over local years: for each different (zone, year) of ``places`` a row (zone, year,
+    intervals), made by the tasks from the time zone database, whose last rule holds for all later years. Years are 1 to 9999.
+    Unknown zones give no row. There are at most as many rows as zones times years, whatever the number of places."""
+    pairs = places.select("zone", F.col("year").cast("int").alias("year")).where("zone is not null and year between 1 and 9999").distinct()
+    return pairs.mapInArrow(_intervals, "zone string, year int, intervals array<struct<local_from: bigint, local_to: bigint, offset: bigint>>")
 
 
 PART_NAMES = ("a", "b", "c", "hour", "minute", "second", "fraction", "half", "offset", "abbr", "zone")
@@ -120,8 +132,9 @@ def to_instants(entries: DataFrame, issuers: DataFrame, key: str = "entry_id", t
     results: null, empty and unreadable texts, impossible dates and unknown zones give no row; repeated entries
     give repeated rows; an empty table an empty result; other columns are ignored.
 
-    No shuffle: issuers (a fixed dimension table, whose size is that of the institutions) and zone years
-    (bounded by the time zone database) are broadcast.
+    Of the entries nothing is shuffled but the different zones and years, each once a task: issuers (a fixed dimension
+    table, whose size is that of the institutions) are broadcast, and so are zone years while they are small, which Spark
+    decides by their size. The parsed entries are written once, as numbers, for these two uses.
     """
     who = issuers.select(F.col("issuer").alias("_issuer"), F.col("tz_name").alias("_tz"), F.col("day_first").alias("_day_first")).where("_issuer is not null").dropDuplicates(["_issuer"])
     rows = entries.select(F.col(key).alias("_key"), F.trim(F.regexp_replace(F.col(text), r"[\s ]+", " ")).alias("_text"), F.col(issuer).alias("_of")).where("_text is not null and _text != ''")
@@ -155,10 +168,10 @@ def to_instants(entries: DataFrame, issuers: DataFrame, key: str = "entry_id", t
     local = F.unix_date(date).cast("bigint") * DAY_US + in_day
 
     digits = F.regexp_replace(p["offset"], "[^0-9]", "")
-    written = (num(F.substring(digits, 1, 2)) * 60 + num(F.substring(digits, 3, 2))) * F.when(p["offset"].startswith("-"), -60).otherwise(60)
+    spelled = (num(F.substring(digits, 1, 2)) * 60 + num(F.substring(digits, 3, 2))) * F.when(p["offset"].startswith("-"), -60).otherwise(60)
     abbreviations = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
     short = F.upper(p["abbr"])
-    own = F.when(p["offset"] != "", written).when(p["abbr"] != "", abbreviations[short] * 60)
+    own = F.when(p["offset"] != "", spelled).when(p["abbr"] != "", abbreviations[short] * 60)
     marked = (p["offset"] != "") | (p["abbr"] != "")
     zone = F.when(p["zone"] != "", p["zone"]).otherwise(F.coalesce(F.col("_tz"), F.lit("UTC")))
     own_zone = F.struct(local.alias("local"), own.alias("own"), marked.alias("marked"), F.when(~marked, zone).alias("zone"))
@@ -166,8 +179,9 @@ def to_instants(entries: DataFrame, issuers: DataFrame, key: str = "entry_id", t
     rows = rows.where("_epoch is not null or (local is not null and (not marked or own is not null))")
 
     seconds = F.floor(F.col("local") / 1_000_000)
-    rows = rows.withColumn("year", F.greatest(F.least(F.year(F.date_from_unix_date(F.floor(F.col("local") / DAY_US).cast("int"))), F.lit(2040)), F.lit(1970)))
-    rows = rows.join(F.broadcast(zone_years(entries.sparkSession)), ["zone", "year"], "left")
+    days = F.floor(F.col("local") / DAY_US).cast("int")
+    rows = written(rows.withColumn("year", F.when(F.col("_epoch").isNull() & ~F.col("marked"), F.year(F.date_from_unix_date(days)))))
+    rows = rows.join(written(zone_years(rows)), ["zone", "year"], "left")
     match = F.filter("intervals", lambda x: (x["local_from"] <= seconds) & (seconds < x["local_to"]))
     before = F.filter("intervals", lambda x: x["local_to"] <= seconds)
     both = F.struct(F.transform(match, lambda x: x["offset"]).alias("fits"), F.try_element_at(before, F.lit(-1))["offset"].alias("before"))

@@ -12,11 +12,11 @@ from quantloom.session import table
 def fx(spark: SparkSession, d: str) -> DataFrame:
     """Panel (unit, asset, date, value): the spot rates by card and currency, a day's mean of finite positive values."""
     g = table(spark, d, "g10_daily").select(F.col("card_id").alias("unit"), "asset", F.substring("date", 1, 10).try_cast("date").alias("date"), "value")
-    return g.where("value > 0 and value < 1e9 and date is not null").groupBy("unit", "asset", "date").agg(F.avg("value").alias("value"))
+    return g.where("value > 0 and value < double('infinity') and date is not null").groupBy("unit", "asset", "date").agg(F.avg("value").alias("value"))
 
 
 FX = """fx AS (SELECT card_id AS unit, asset, try_cast(substr(date, 1, 10) AS date) AS date, avg(value) AS value FROM g10_daily
-  WHERE value > 0 AND value < 1e9 AND NOT isnan(value) AND try_cast(substr(date, 1, 10) AS date) IS NOT NULL GROUP BY 1, 2, 3)"""
+  WHERE value > 0 AND isfinite(value) AND try_cast(substr(date, 1, 10) AS date) IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 def shipments(spark: SparkSession, d: str) -> DataFrame:

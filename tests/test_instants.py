@@ -70,6 +70,25 @@ def test_every_half_hour_around_changes(spark, zone, issuer):
         assert got[i] == want.strftime("%Y-%m-%dT%H:%M:%S.%fZ"), x
 
 
+def test_all_years_and_zones_against_the_time_zone_database(spark):
+    import random
+    import zoneinfo
+
+    draw, cases, want = random.Random(1), [("2045-07-01 12:00 Europe/London", None)], ["2045-07-01T11:00:00.000000Z"]
+    zones = sorted(z for z in zoneinfo.available_timezones() if z.count("/") == 1 and not z.startswith(("Etc", "posix", "right")))
+    for _ in range(600):
+        zone = draw.choice(zones)
+        x = dt.datetime(draw.choice([draw.randrange(1, 9999), draw.randrange(1890, 2100)]), draw.randrange(1, 13), draw.randrange(1, 29), draw.randrange(24), draw.randrange(60))
+        try:
+            at = x.replace(tzinfo=ZoneInfo(zone), fold=0).astimezone(dt.timezone.utc)
+        except OverflowError:
+            continue
+        cases.append((f"{x.year:04d}-{x.month:02d}-{x.day:02d} {x.hour:02d}:{x.minute:02d} {zone}", None))
+        want.append(f"{at.year:04d}-{at.month:02d}-{at.day:02d}T{at.hour:02d}:{at.minute:02d}:{at.second:02d}.000000Z")
+    got = {r.entry_id: r.instant_utc for r in to_instants(table(spark, cases), issuers(spark)).collect()}
+    assert not [(c[0], got.get(i), w) for i, (c, w) in enumerate(zip(cases, want)) if got.get(i) != w]
+
+
 def test_session_zone_does_not_matter(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
