@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.lines import file_sources, letters
+from quantloom.llm.lines import at_hand, file_sources, letters
 from quantloom.session import written
 
 
@@ -24,7 +24,7 @@ def _hashed(files: DataFrame, index: DataFrame, min_letters: int) -> DataFrame:
     sources = written(file_sources(index).where("source is not null"))
     keys = F.transform(F.split("body_text", "\n", -1), letters)
     hashes = F.transform(keys, lambda k: F.when(F.length(k) >= min_letters, F.xxhash64(k)))
-    rows = files.select("file", hashes.alias("hashes")).where("file is not null and hashes is not null").join(sources, "file")
+    rows = files.select("file", hashes.alias("hashes")).where("file is not null and hashes is not null").join(at_hand(sources), "file")
     return written(rows.select("file", F.transform("hashes", lambda h: F.when(h.isNotNull(), F.xxhash64("source", h))).alias("nodes")))
 
 
@@ -80,7 +80,7 @@ def repeated_lines(files: DataFrame, index: DataFrame, min_files: int = 6, min_l
     rows = _hashed(files, index, min_letters)
     blocks = _blocks(rows, min_files)
     places = rows.select("file", F.posexplode("nodes").alias("i", "node")).where("node is not null")
-    return places.join(blocks, "node").select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), "node", "block")
+    return places.join(at_hand(blocks), "node").select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), "node", "block")
 
 
 def _supports(rows: DataFrame, min_files: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _edges(rows: DataFrame, kept: DataFrame, min_files: int) -> DataFrame:
     pairs = F.zip_with(F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0))), F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     steps = rows.where(F.size(run) > 1).select("file", F.explode(F.array_distinct(pairs)).alias("e")).select("file", "e.*").where("x != y")
     for side in ("x", "y"):
-        steps = steps.join(kept.select(F.col("node").alias(side)), side, "left_semi")
+        steps = steps.join(at_hand(kept.select(F.col("node").alias(side))), side, "left_semi")
     again = rows.groupBy("file").count().where("count > 1")
     steps = steps if again.isEmpty() else steps.distinct()
     return steps.groupBy("x", "y").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= min_files)
@@ -114,5 +114,5 @@ def without_repeated_lines(files: DataFrame, index: DataFrame, **found) -> DataF
     places = repeated_lines(files, index, **found)
     taken = written(places.groupBy("file").agg(F.collect_set("line_no").alias("taken")))
     kept = F.filter(F.split("body_text", "\n", -1), lambda line, i: ~F.array_contains("taken", (i + 1).cast("bigint")))
-    rows = files.select("file", "body_text").join(taken, "file", "left")
+    rows = files.select("file", "body_text").join(at_hand(taken), "file", "left")
     return rows.select("file", F.when(F.col("taken").isNull(), F.col("body_text")).otherwise(F.array_join(kept, "\n")).alias("body_text"), F.coalesce(F.size("taken"), F.lit(0)).alias("n_removed"))

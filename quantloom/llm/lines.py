@@ -19,3 +19,14 @@ def file_sources(index: DataFrame) -> DataFrame:
     """Rows (file, source), one for each listed file: the non-null source among its entries, NULL where all are null."""
     rows = index.select(F.col("file"), source_key(F.col("source")).alias("source")).where("file is not null")
     return rows.groupBy("file").agg(F.max("source").alias("source"))
+
+
+#: Bytes of a table in the shared folder up to which it is broadcast: at most some 100 MB in memory.
+BROADCAST_BYTES = 32 << 20
+
+
+def at_hand(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast where the size of its files, as the planner knows it, is within BROADCAST_BYTES. A larger
+    one is left to the planner, which joins it by a sorted shuffle."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

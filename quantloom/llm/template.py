@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.lines import file_sources, letters
+from quantloom.llm.lines import at_hand, file_sources, letters
 from quantloom.session import written
 
 
@@ -62,7 +62,7 @@ def _hosts(files: DataFrame, index: DataFrame) -> DataFrame:
     own = written(own)
     near = written(own.groupBy(prefix.alias("prefix")).agg(F.max("own").alias("near")))
     pages = files.where("file is not null").select("file", F.col("body_text").alias("text"), prefix.alias("prefix"))
-    pages = pages.join(own, "file", "left").join(near, "prefix", "left")
+    pages = pages.join(at_hand(own), "file", "left").join(at_hand(near), "prefix", "left")
     host = F.coalesce("own", "near", "prefix")
     return pages.select("file", "text", F.lower(host).alias("host"), letters(host).alias("site"))
 
@@ -120,8 +120,8 @@ def _recurring_blocks(pages: DataFrame, rules: TemplateRules) -> DataFrame:
     counts = blocks.select("host", "page", "h").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1")
     sizes = _sizes(pages).where(F.col("n_host") >= rules.host_pages)
     most = written(counts.join(sizes, "host").where(F.col("n") >= rules.block_share * F.col("n_host")).select("h"))
-    found = blocks.join(most, "h", "left_semi").groupBy("file").agg(F.collect_set("block").alias("found"))
-    lines = pages.join(written(found), "file").select("file", "found", F.explode(_numbered("elements", 0)).alias("x"))
+    found = blocks.join(at_hand(most), "h", "left_semi").groupBy("file").agg(F.collect_set("block").alias("found"))
+    lines = pages.join(at_hand(written(found)), "file").select("file", "found", F.explode(_numbered("elements", 0)).alias("x"))
     return lines.where(F.array_contains("found", F.col("x.block"))).select("file", F.col("x.no").alias("line_no"))
 
 
@@ -135,7 +135,7 @@ def _recurring(pages: DataFrame) -> DataFrame:
 
 
 def _contexts(pages: DataFrame, recurring: DataFrame) -> DataFrame:
-    """Counts c of (k, before, after): a recurring element and the keys of the visible lines on either side."""
+    """Counts c of (k, before, after): a recurring element and the keys of the visible lines on either side, be they recurring or not."""
     size = F.size("elements")
 
     def at(x: Column, i: Column) -> Column:
@@ -144,11 +144,7 @@ def _contexts(pages: DataFrame, recurring: DataFrame) -> DataFrame:
         return F.struct(x["k"].alias("k"), before.alias("before"), after.alias("after"))
 
     rows = pages.select(F.explode(F.transform("elements", at)).alias("e")).select("e.*").where("k != 0")
-    known = recurring.select("k")
-    rows = rows.join(known, "k")
-    for side, other in (("before", "after"), ("after", "before")):
-        rows = _joined(rows, side, known.select(F.col("k").alias(side), F.lit(True).alias("known")), "k", other)
-        rows = rows.withColumn(side, F.when(F.col("known") | (F.col(side) == _EDGE), F.col(side)).otherwise(F.lit(0).cast("bigint"))).drop("known")
+    rows = rows.join(at_hand(recurring.select("k")), "k", "left_semi")
     return rows.groupBy("k", "before", "after").agg(F.count("*").alias("c"))
 
 
@@ -158,16 +154,16 @@ def _attachment(contexts: DataFrame, recurring: DataFrame, rules: TemplateRules)
     towards the mean of the same line at other hosts."""
     t = recurring
     for _ in range(rules.rounds):
-        known = t.select("k", "t")
+        known = at_hand(t.select("k", "t"))
         rows = contexts
         for s, other in (("before", "after"), ("after", "before")):
             rows = _joined(rows, s, known.select(F.col("k").alias(s), F.col("t").alias(f"w_{s}")), "k", other)
             rows = rows.withColumn(f"w_{s}", F.when(F.col(s) == _EDGE, 1.0).otherwise(F.coalesce(f"w_{s}", F.lit(0.0))))
         own = rows.groupBy("k").agg(F.sum(F.col("c") * F.greatest("w_before", "w_after")).alias("x"), F.sum("c").alias("m"))
-        own = written(own.join(recurring.select("k", "g"), "k"))
+        own = written(own.join(at_hand(recurring.select("k", "g")), "k"))
         pooled = own.groupBy("g").agg((F.sum("x") / F.sum("m")).alias("mean"), F.sum("m").alias("n"), F.count("*").alias("hosts"))
         weight = F.least(F.col("n"), F.lit(rules.prior))
-        t = written(own.join(pooled, "g").select("k", "g", ((F.col("x") + weight * F.col("mean")) / (F.col("m") + weight)).alias("t"), "hosts"))
+        t = written(own.join(at_hand(written(pooled)), "g").select("k", "g", ((F.col("x") + weight * F.col("mean")) / (F.col("m") + weight)).alias("t"), "hosts"))
     return t, pooled
 
 
@@ -193,11 +189,11 @@ def furniture_lines(files: DataFrame, index: DataFrame, rules: TemplateRules = T
     decided = written(t.join(often, "k", "left").select("k", "t", "hosts", F.coalesce("often", F.lit(False)).alias("often")))
     known = written(pooled.where((F.col("hosts") >= rules.known_hosts) & (F.col("mean") >= rules.attached)).select("g"))
     bar = F.when((F.col("hosts") < rules.known_hosts) & F.col("stop"), rules.attached_sentence).otherwise(rules.attached)
-    rows = pages.select("file", F.explode("elements").alias("e")).select("file", "e.*")
-    whole = _joined(rows, "k", decided, "file", "no").where((F.col("t") >= bar) | F.col("often")).select("file", F.col("no").alias("line_no"))
+    rows = pages.select("file", F.explode("elements").alias("e")).select("file", "e.no", "e.k", "e.stop")
+    whole = _joined(rows, "k", at_hand(decided), "file", "no").where((F.col("t") >= bar) | F.col("often")).select("file", F.col("no").alias("line_no"))
     small = _sizes(pages).where(F.col("n_host") < rules.host_pages).select("host")
     elsewhere = pages.join(small, "host", "left_semi").select("file", F.explode("elements").alias("e")).select("file", "e.no", "e.g")
-    elsewhere = elsewhere.join(known, "g", "left_semi").select("file", F.col("no").alias("line_no"))
+    elsewhere = elsewhere.join(at_hand(known), "g", "left_semi").select("file", F.col("no").alias("line_no"))
     bare = _without_letters(pages, decided, rules)
     return whole.unionByName(elsewhere).unionByName(bare).unionByName(_recurring_blocks(pages, rules)).unionByName(_section_paths(pages, rules)).distinct()
 
@@ -222,9 +218,9 @@ def _section_paths(pages: DataFrame, rules: TemplateRules) -> DataFrame:
     paths = pages.select("file", "page", F.explode("labels").alias("l")).select("file", "page", "l.no", F.posexplode("l.parts").alias("i", "part"), F.size("l.parts").alias("n"))
     lines = pages.select("page", F.explode("elements").alias("e")).select(F.col("e.k").alias("part"), "page")
     parts = paths.select("part").distinct()
-    places = paths.select("part", "page").unionByName(lines.join(parts, "part", "left_semi"))
+    places = paths.select("part", "page").unionByName(lines.join(at_hand(written(parts)), "part", "left_semi"))
     counts = places.distinct().groupBy("part").count().where(F.col("count") >= rules.label_pages).select("part")
-    heads = paths.where("i < n - 1").join(written(counts).withColumn("label", F.lit(True)), "part", "left")
+    heads = paths.where("i < n - 1").join(at_hand(written(counts)).withColumn("label", F.lit(True)), "part", "left")
     full = heads.groupBy("file", "no").agg(F.every(F.coalesce("label", F.lit(False))).alias("all"))
     return full.where("all").select("file", F.col("no").alias("line_no"))
 
@@ -237,5 +233,5 @@ def main_body(files: DataFrame, index: DataFrame, rules: TemplateRules = Templat
     """
     taken = written(furniture_lines(files, index, rules).groupBy("file").agg(F.collect_set("line_no").alias("taken")))
     kept = F.filter(F.split("body_text", "\n", -1), lambda line, i: ~F.array_contains("taken", (i + 1).cast("bigint")))
-    rows = files.select("file", "body_text").join(taken, "file", "left")
+    rows = files.select("file", "body_text").join(at_hand(taken), "file", "left")
     return rows.select("file", F.when(F.col("taken").isNull(), F.col("body_text")).otherwise(F.array_join(kept, "\n")).alias("body_text"), F.coalesce(F.size("taken"), F.lit(0)).alias("n_removed"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quantloom.llm import lines as module
 from quantloom.llm.linegraph import boilerplate_blocks, connected_components, repeated_lines, without_repeated_lines
 
 FILES = "file string, body_text string, node string"
@@ -33,7 +34,8 @@ def make():
 
 
 @pytest.mark.parametrize("most", ["10485760", "-1"])
-def test_against_brute_force(spark, most):
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(module, "BROADCAST_BYTES", int(most))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     files, index = make()
     got = repeated_lines(spark.createDataFrame(files, FILES), spark.createDataFrame(index, INDEX))

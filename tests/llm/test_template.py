@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from quantloom.llm import lines
 from quantloom.llm.template import furniture_lines, main_body
 
 FILES = "file string, body_text string, source string, host string"
@@ -36,7 +37,8 @@ def sites(spark, n_sites=6, n_pages=12):
 
 
 @pytest.mark.parametrize("most", ["10485760", "-1"])
-def test_furniture_of_sites(spark, most):
+def test_furniture_of_sites(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", int(most))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     files, index, want = sites(spark)
     got = {(r.file, r.line_no) for r in furniture_lines(files, index).collect()}
