@@ -28,5 +28,5 @@ BROADCAST_BYTES = 32 << 20
 def at_hand(df: DataFrame) -> DataFrame:
     """A side of a join, broadcast where the size of its files, as the planner knows it, is within BROADCAST_BYTES. A larger
     one is left to the planner, which joins it by a sorted shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
