@@ -75,7 +75,7 @@ def declared_grid(pairs: DataFrame) -> DataFrame:
 
 def label_codes(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """rows with ``code``, the position of their label in ``labels`` (label, code); NULL for unknown ones, to be counted and refused."""
-    return rows.join(F.broadcast(labels.select(F.col("label").alias(column), "code")), column, "left")
+    return rows.join(labels.select(F.col("label").alias(column), "code"), column, "left")
 
 
 def flatten_realized(realized: DataFrame, grid: DataFrame) -> DataFrame:

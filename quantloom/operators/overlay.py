@@ -44,7 +44,7 @@ def adjusted(draws: DataFrame, adjustments: DataFrame, vol: tuple[float, float]
     parts = ["drift_bp", "vol_scale", "skew"]
     base = adjustments.where("horizon is null").select("unit", "asset", F.lit(True).alias("_any"), F.col("scale").alias("_s"), *(F.col(p).alias(f"b_{p}") for p in parts))
     own = adjustments.where("horizon is not null").select(*CELL, F.lit(True).alias("_own"), F.col("scale").alias("_t"), *(F.col(p).alias(f"o_{p}") for p in parts))
-    rows = _centre(draws).join(F.broadcast(base), ["unit", "asset"], "left").join(F.broadcast(own), CELL, "left")
+    rows = _centre(draws).join(base, ["unit", "asset"], "left").join(own, CELL, "left")
     scale = F.coalesce("_t", "_s", F.lit(1.0))
     drift = F.when(F.col("_own"), F.coalesce("o_drift_bp", F.lit(0.0))).otherwise(F.coalesce("b_drift_bp", F.lit(0.0)))
     v = _clamp(F.coalesce("o_vol_scale", "b_vol_scale", F.lit(1.0)), *vol)
@@ -72,7 +72,7 @@ def mixed_scenarios(draws: DataFrame, scenarios: DataFrame, shifts: DataFrame) -
         hi = lo + F.bround(F.lit(min(max(b.p, 0.0), 1.0)) * F.col("n")).cast("int")
         inside = (F.col("draw") >= lo) & (F.col("draw") < hi)
         branch, vol, lo = F.when(inside, b.branch).otherwise(branch), F.when(inside, b.vol).otherwise(vol), hi
-    rows = _centre(whole.withColumn("branch", branch).withColumn("vol", vol), "branch").join(F.broadcast(shifts), ["branch", "asset"], "left")
+    rows = _centre(whole.withColumn("branch", branch).withColumn("vol", vol), "branch").join(shifts, ["branch", "asset"], "left")
     sd = F.when(F.col("cell_sd") > 0, F.col("cell_sd")).otherwise(1.0)
     moved = F.col("med") + (F.col("value") - F.col("med")) * F.col("vol") + F.col("k") * sd
     return rows.select(*CELL, "draw", F.when(F.coalesce("k", F.lit(0.0)) != 0, moved).otherwise(F.col("value")).alias("value"))
@@ -80,7 +80,7 @@ def mixed_scenarios(draws: DataFrame, scenarios: DataFrame, shifts: DataFrame) -
 
 def two_scalar(draws: DataFrame, adjustments: DataFrame) -> DataFrame:
     """Two-scalar adjustment about the mean: vol in [0.5, 2], drift within three deviations. adjustments: (unit, asset, shift, vol)."""
-    rows = _centre(draws).join(F.broadcast(adjustments), ["unit", "asset"], "left")
+    rows = _centre(draws).join(adjustments, ["unit", "asset"], "left")
     v = _clamp(F.coalesce("vol", F.lit(1.0)), 0.5, 2.0)
     shift = _clamp(F.coalesce("shift", F.lit(0.0)), -3.0 * F.col("sd"), 3.0 * F.col("sd"))
     return rows.select(*CELL, "draw", (F.col("mean") + (F.col("value") - F.col("mean")) * v + shift).alias("value"))

@@ -30,6 +30,18 @@ def first_panel_series(panel: DataFrame, cutoff: Column) -> DataFrame:
     return rows.groupBy("panel_id", "asset", "date").agg(F.max_by("value", "row_no").alias("value"))
 
 
+def series_as_written(panel: DataFrame, cutoff: Column) -> DataFrame:
+    """Every row at or before the cutoff of the first panel, by name, that has the asset there; several rows of a day all stay."""
+    seen = as_of(panel, cutoff)
+    return seen.join(seen.groupBy("asset").agg(F.min("panel_id").alias("panel_id")), ["asset", "panel_id"])
+
+
+def chosen_units(units: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
+    """Units whose name matches a pattern, the first ``limit`` by name."""
+    chosen = units.where(F.col("unit").rlike(pattern)).distinct()
+    return chosen if limit is None else chosen.orderBy("unit").limit(limit)
+
+
 def last_values(panel: DataFrame, cutoff: Column, by: Sequence[str] = ("asset",)) -> DataFrame:
     """(by..., last_date, n_obs, anchor): the value at each series' last date at or before the cutoff."""
     return as_of(panel, cutoff).groupBy(*by).agg(F.max("date").alias("last_date"), F.count("*").alias("n_obs"), F.max_by("value", "date").alias("anchor"))

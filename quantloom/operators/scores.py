@@ -89,26 +89,31 @@ def variogram(draws: DataFrame, realized: DataFrame, p: float = 0.5) -> DataFram
 
 
 def _energy(key: tuple, part: pa.Table) -> pa.Table:
-    block = 512
-    frame = part.to_pandas().pivot_table(index="draw", columns=["asset", "horizon"], values="value", sort=True)
-    y = part.to_pandas().drop_duplicates(["asset", "horizon"]).set_index(["asset", "horizon"])["y"].reindex(frame.columns).to_numpy()
-    x = frame.dropna().to_numpy()
-    n = len(x)
-    miss = float(np.sqrt(((x - y) ** 2).sum(axis=1)).mean()) if n else float("nan")
-    spread, square = 0.0, (x**2).sum(axis=1)
-    for i in range(0, n, block):
-        d = square[i : i + block, None] + square[None, :] - 2 * x[i : i + block] @ x.T
-        spread += float(np.sqrt(np.maximum(d, 0)).sum())
-    return pa.table({"unit": [key[0].as_py()], "n_draws": pa.array([n], pa.int64()), "energy": [miss - spread / (2 * n * n) if n else None]})
-
-
-def energy(draws: DataFrame, realized: DataFrame) -> DataFrame:
+    """Sums over the pairs of two blocks of draws of a unit; a block with itself also sums the misses."""
+    unit, i, j = (k.as_py() for k in key)
+    block = part["block"].to_numpy()
+    x = np.array(part["x"].to_pylist(), float)
+    a, b = x[block == i], x[block == j]
+    d = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
+    spread = float(np.sqrt(np.maximum(d, 0)).sum()) * (1 if i == j else 2)
+    miss = float(np.sqrt(((a - np.array(part["y"][0].as_py(), float)) ** 2).sum(1)).sum()) if i == j else 0.0
+    return pa.table({"unit": [unit], "n": pa.array([len(a) if i == j else 0], pa.int64()), "miss": [miss], "spread": [spread]})
+
+
+def energy(draws: DataFrame, realized: DataFrame, block: int = 2048) -> DataFrame:
     """(unit, n_draws, energy): E||X-y|| - E||X-X'||/2 over the draws that have every cell.
 
-    All pairs of a unit's draws count by definition; a unit's table is bounded by contract (20,000 draws of 20 cells), and
-    its distances are formed block by block.
+    All pairs of a unit's draws count by definition. They are summed by pairs of blocks of ``block`` draws, spread over
+    the tasks, of which none sees more than two blocks.
     """
-    return _matched(draws, realized).groupBy("unit").applyInArrow(_energy, "unit string, n_draws bigint, energy double")
+    rows = _matched(draws, realized).groupBy("unit", "draw").agg(F.sort_array(F.collect_list(F.struct("asset", "horizon", "value", "y"))).alias("c"))
+    rows = rows.select("unit", F.floor(F.col("draw") / block).alias("block"), F.transform("c", lambda c: c["value"]).alias("x"), F.transform("c", lambda c: c["y"]).alias("y"), F.size("c").alias("k"))
+    units = rows.groupBy("unit").agg(F.max("k").alias("most"), F.collect_set("block").alias("blocks"))
+    rows = rows.join(units, "unit").where("k = most").select("unit", "block", "x", "y", F.explode("blocks").alias("other"))
+    pairs = rows.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "x", "y")
+    sums = pairs.groupBy("unit", "i", "j").applyInArrow(_energy, "unit string, n bigint, miss double, spread double")
+    total = sums.groupBy("unit").agg(F.sum("n").alias("n_draws"), F.sum("miss").alias("miss"), F.sum("spread").alias("spread"))
+    return total.select("unit", "n_draws", F.when(F.col("n_draws") > 0, F.col("miss") / F.col("n_draws") - F.col("spread") / (2 * F.col("n_draws") * F.col("n_draws"))).alias("energy"))
 
 
 def composite(draws: DataFrame, realized: DataFrame, scales: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:

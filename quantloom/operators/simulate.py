@@ -167,12 +167,22 @@ def bootstrap_rows(weights: DataFrame, n_draws: int, n_steps: int, block: float,
     cum = weights.select("unit", "row", F.sum("weight").over(by).alias("c"))
     arrays = cum.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("row", "c"))).alias("w"))
     arrays = arrays.select("unit", F.size("w").alias("n"), F.transform("w", lambda x: x["c"]).alias("c"))
-    rows = draw_ids(arrays, n_draws).select("unit", "draw", "n", "c", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("t"))
-    u, v = uniform(F.lit(seed), F.col("draw"), F.col("t"), F.lit("block")), uniform(F.lit(seed), F.col("draw"), F.col("t"), F.lit("start"))
-    opens = (F.col("t") == 0) | (u >= 1 - 1 / block)
-    # searched only where a block opens
-    start = F.when(opens, F.least(F.aggregate("c", F.lit(0), lambda a, x: a + (x <= v * F.element_at("c", F.lit(-1))).cast("int")), F.col("n") - 1))
-    rows = rows.select("unit", "draw", "n", "t", start.alias("start"))
+
+    def start(t: Column) -> Column:
+        """Where a block opens, the number of cumulated weights up to a uniform, by halving; the array stays in the draw's row."""
+        u, v = uniform(F.lit(seed), F.col("draw"), t, F.lit("block")), uniform(F.lit(seed), F.col("draw"), t, F.lit("start"))
+        at = v * F.element_at("c", F.lit(-1))
+
+        def halve(a: Column, _: Column) -> Column:
+            mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+            below = (a["lo"] < a["hi"]) & (F.get("c", mid) <= at)
+            return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(F.least(mid, a["hi"])).alias("hi"))
+
+        found = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int")), F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")), halve, lambda a: a["lo"])
+        return F.when((t == 0) | (u >= 1 - 1 / block), F.least(found, F.col("n") - 1))
+
+    starts = F.transform(F.sequence(F.lit(0), F.lit(n_steps - 1)), start)
+    rows = draw_ids(arrays, n_draws).select("unit", "draw", "n", F.posexplode(starts).alias("t", "start"))
     path = Window.partitionBy("unit", "draw").orderBy("t")
     opened, at = F.last("start", ignorenulls=True).over(path), F.last(F.when(F.col("start").isNotNull(), F.col("t")), ignorenulls=True).over(path)
     return rows.select("unit", "draw", "t", ((opened + F.col("t") - at) % F.col("n")).cast("int").alias("row"))

@@ -280,3 +280,13 @@ def monthly_gate(check: DataFrame, horizons: DataFrame) -> DataFrame:
     h = horizons.groupBy("unit").agg(F.count("code").alias("bad"), F.count_if(F.col("code") == "conflict").alias("conflicts"))
     path = F.when(F.col("conflicts") > 0, "refused").when(F.col("monthly") & (F.col("bad") == 0), "monthly").otherwise("daily")
     return m.join(h, "unit").select("unit", path.alias("path"))
+
+
+def continuation(panel: DataFrame, by: Sequence[str], order: str, ahead: Sequence[int], every: int = 1) -> DataFrame:
+    """(by..., order, steps, anchor, realized): what came ``steps`` rows after an origin, for every ``every``-th row of a series as
+    origin and each of ``ahead``; origins without that many rows behind them give none. One window a series."""
+    w = Window.partitionBy(*by).orderBy(order)
+    later = F.array(*(F.struct(F.lit(int(s)).alias("steps"), F.lead("value", int(s)).over(w).alias("realized"), F.lead(F.lit(1), int(s)).over(w).alias("there")) for s in ahead))
+    rows = panel.select(*by, order, F.col("value").alias("anchor"), (F.row_number().over(w) - 1).alias("_i"), later.alias("_later"))
+    rows = rows.where(F.col("_i") % every == 0).select(*by, order, "anchor", F.explode("_later").alias("x"))
+    return rows.where("x.there is not null").select(*by, order, "x.steps", "anchor", "x.realized")

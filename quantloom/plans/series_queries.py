@@ -282,8 +282,9 @@ ORACLES = {
         ASOF LEFT JOIN fx f ON p.unit = f.unit AND p.asset = f.asset AND p.at >= f.date"""),
     "locf_fill": with_ctes(FX, """s AS (SELECT unit, asset, min(date) AS a, max(date) AS b FROM fx GROUP BY 1, 2), o AS (SELECT CAST(obs_day AS date) AS date FROM market_days WHERE is_open),
         g AS (SELECT s.unit, s.asset, o.date, fx.value FROM s JOIN o ON o.date BETWEEN a AND b LEFT JOIN fx ON fx.unit = s.unit AND fx.asset = s.asset AND fx.date = o.date),
-        f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY unit, asset ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS v FROM g)""",
-        select="SELECT unit, asset, count(*) AS n_days, count(*) FILTER (value IS NULL AND v IS NOT NULL) AS n_carried, round(sum(v), 4) AS total FROM f GROUP BY 1, 2"),
+        f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY unit, asset ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS v FROM g),
+        h AS (SELECT *, count(*) FILTER (v IS NULL) OVER (PARTITION BY unit, date) AS absent FROM f)""",
+        select="SELECT unit, asset, count(*) AS n_days, count(*) FILTER (value IS NULL AND v IS NOT NULL) AS n_carried, round(sum(v), 4) AS total FROM h WHERE absent < 2 GROUP BY 1, 2"),
     "business_day_offset": """WITH m AS (SELECT CAST(obs_day AS date) AS day FROM market_days), b AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM
           (SELECT CAST(unnest(range(TIMESTAMP '2007-12-01', TIMESTAMP '2026-06-01', INTERVAL 1 DAY)) AS date) AS day) WHERE isodow(day) < 6),
         k AS (SELECT m.day, max(b.i) AS i FROM m JOIN b ON b.day <= m.day GROUP BY 1)

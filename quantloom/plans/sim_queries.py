@@ -218,7 +218,8 @@ ORACLES = {
         CASE WHEN unit || asset = 'FA' THEN CASE WHEN horizon = 3 THEN 1.6 ELSE 1.2 END ELSE 0.7 END AS v, CASE WHEN unit || asset = 'FA' THEN CASE WHEN horizon = 3 THEN -0.5 ELSE 0.1 END ELSE 0.0 END AS k FROM st),
         w AS (SELECT unit, asset, horizon, CASE WHEN bp IS NULL THEN value ELSE med + (value - med) * CASE WHEN value > med THEN 1 + k ELSE 1 - k END * v + greatest(-1.5 * sd, least(1.5 * sd, 50000.0 * bp / 1e4)) END AS value FROM p)""",
         select=_SUM.format(n=3, t="w")),
-    "scenario_mixture": with_ctes(DRAWS, """b AS (SELECT *, CASE WHEN draw < 250 THEN 1 WHEN draw < 350 THEN 2 ELSE 0 END AS br, stddev_pop(value) OVER (PARTITION BY unit, asset, horizon) AS sd FROM draws),
+    "scenario_mixture": with_ctes(DRAWS, """b AS (SELECT *, CASE WHEN draw < round_even(0.25 * n, 0) THEN 1 WHEN draw < round_even(0.25 * n, 0) + round_even(0.1 * n, 0) THEN 2 ELSE 0 END AS br
+          FROM (SELECT *, count(*) OVER w AS n, stddev_pop(value) OVER w AS sd FROM draws WINDOW w AS (PARTITION BY unit, asset, horizon))),
         m AS (SELECT *, median(value) OVER (PARTITION BY unit, asset, horizon, br) AS med, CASE WHEN br = 1 THEN 1.5 WHEN br = 2 THEN 2.0 ELSE 1.0 END AS v,
           CASE WHEN br = 1 AND asset = 'A' THEN 1.0 WHEN br = 2 AND asset = 'A' THEN -2.0 WHEN br = 2 AND asset = 'N' THEN 0.5 ELSE 0.0 END AS k FROM b),
         w AS (SELECT unit, asset, horizon, CASE WHEN k = 0 THEN value ELSE med + (value - med) * v + k * sd END AS value FROM m)""", select=_SUM.format(n=3, t="w")),

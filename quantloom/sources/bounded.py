@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import os
@@ -14,10 +15,19 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The closed list of refusals.
+CODES = frozenset(
+    """missing_file irregular_file oversize bad_json bad_parquet duplicate_columns row_groups columns rows unpacked row_count types file_set
+    blank_rationale schema binding grid target_dates""".split()
+)
+
+
 class Refusal(ValueError):
     """A participant's fault: a code from a closed list and counts, nothing of the content."""
 
     def __init__(self, code: str, **counts: int):
+        if code not in CODES:
+            raise TypeError("a refusal's code is on the list")
         if any(not isinstance(n, int) or isinstance(n, bool) or n < 0 for n in counts.values()):
             raise TypeError("a refusal carries counts only")
         self.code, self.counts = code, counts
@@ -129,10 +139,10 @@ def read_card(path: str) -> dict:
 
 
 def as_of(card: dict) -> str:
-    """The forecast's as-of date, else the data cutoff."""
+    """The forecast's as-of date, else the data cutoff; a text that is no ISO date raises."""
     for table, key in (("forecast", "asof"), ("provenance", "data_cutoff")):
         if value := card.get(table, {}).get(key):
-            return str(value)[:10]
+            return dt.date.fromisoformat(str(value)).isoformat()
     raise KeyError("the card has neither an as-of date nor a data cutoff")
 
 
@@ -148,7 +158,8 @@ def grid_of(card: dict) -> tuple[tuple[str, ...], tuple[int, ...]]:
 
 
 def check_deliverable(folder: str, card: dict, limits: Limits = Limits()) -> dict[str, int]:
-    """Gates on a deliverable, cheap ones first: exactly three regular files, metadata bound to the card, its declared grid equal to
+    """Gates on a deliverable, cheap ones first: exactly three regular files, metadata bound to the card by
+    as-of date, unit and target, target dates after the as-of, its declared grid equal to
     the card's in order and multiplicity, the footer's row count. Returns counts, or raises the first refusal."""
     names = sorted(os.listdir(folder))
     if names != ["forecast.parquet", "forecast_meta.json", "forecast_rationale.md"]:
@@ -161,6 +172,11 @@ def check_deliverable(folder: str, card: dict, limits: Limits = Limits()) -> dic
         raise Refusal("schema")
     if meta.get("asof") != as_of(card) or meta.get("unit_id") != card["task"]["id"]:
         raise Refusal("binding")
+    if (planned := card["targets"].get("target_type")) is not None and meta.get("target") != planned:
+        raise Refusal("binding")
+    early = sum(dt.date.fromisoformat(str(x)) <= dt.date.fromisoformat(as_of(card)) for x in card["targets"].get("target_dates", ()))
+    if early:
+        raise Refusal("target_dates", found=early)
     assets, horizons = grid_of(card)
     for key, planned in (("asset_ids", assets), ("horizons", horizons)):
         declared = tuple(meta.get(key, ()))
