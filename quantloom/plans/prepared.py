@@ -70,5 +70,7 @@ stuck AS (SELECT reading_id FROM (SELECT *, count(*) OVER (PARTITION BY c, p, as
 #: The regular grid's fits, and the parsing of timestamps, are tested against brute force instead.
 ORACLES = {
     "p1_found": f"WITH {_UST} SELECT card_id, panel_id, asset, obs_day FROM m WHERE NOT seen",
+    "p4_kinds": f"""WITH {_G10}, a AS (SELECT reading_id, 1 AS o, 'range' AS kind FROM bad UNION ALL SELECT reading_id, 2, 'spike' FROM spikes UNION ALL SELECT reading_id, 3, 'stuck' FROM stuck)
+        SELECT kind, count(*) AS n_readings FROM (SELECT reading_id, arg_min(kind, o) AS kind FROM a GROUP BY 1) GROUP BY 1""",
     "p4_found": f"WITH {_G10} SELECT reading_id FROM bad UNION SELECT reading_id FROM spikes UNION SELECT reading_id FROM stuck",
 }

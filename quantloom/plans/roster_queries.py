@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import panel, steps
 from quantloom.operators.declutter import declutter, reissue_notes
-from quantloom.plans.relations import FX, fx, with_ctes
+from quantloom.plans import verbs
+from quantloom.plans.relations import FX, fx, shipments, with_ctes
 from quantloom.session import table
 from quantloom.sources import roster
 
@@ -100,9 +101,22 @@ def units_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     return panel.chosen_units(table(spark, d, "task_cards").select(F.col("card_id").alias("unit")), "[02468]$", 20)
 
 
+def _shipment_targets(spark: SparkSession, d: str) -> DataFrame:
+    cells = shipments(spark, d).select("unit", "asset").distinct()
+    return cells.select("unit", "asset", F.explode(F.array(F.lit(5), F.lit(21))).alias("horizon")).withColumn("steps", F.col("horizon"))
+
+
+def bootstrap_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The bootstrap end to end, calibrated on its past and with a family's prior: draws and spread of each cell."""
+    p, t = shipments(spark, d), _shipment_targets(spark, d)
+    families = t.select("unit").distinct().withColumn("family", F.lit("F2"))
+    draws = verbs.forecast_bootstrap(p, t, 100, 3, corrections=verbs.calibration(p, t, 50, 3), families=families)
+    return draws.groupBy("unit", "asset", "horizon").agg(F.count("*").alias("n_draws"), F.round(F.stddev_pop("value"), 2).alias("sd"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (page_rules, page_notes, plan_roster, scale_bundle_check, rankable_units, realized_continuation, series_as_written, units_by_pattern)
+    for f in (bootstrap_forecast, page_rules, page_notes, plan_roster, scale_bundle_check, rankable_units, realized_continuation, series_as_written, units_by_pattern)
 }
 _P = len(_PROSE)
 _EXPECTED = (
