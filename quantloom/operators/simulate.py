@@ -100,7 +100,8 @@ def monthly_walk(moments: DataFrame, n_draws: int, seed: int) -> DataFrame:
 
 def covariance_draws(moments: DataFrame, covariances: DataFrame, n_draws: int, seed: int, ridge: float = 1.1e-9) -> DataFrame:
     """(unit, asset, horizon, draw, value) of the text-blind baseline: mean anchor + s drift, covariance min(s_i, s_j) cov_ij over a
-    unit's cells sorted by asset and horizon, drawn through one factor a unit. ``ridge`` is added to the variances."""
+    unit's cells sorted by asset and horizon, drawn through one factor a unit. ``ridge`` is added to the variances. A unit without
+    cells has no rows; one whose matrix holds no covariances (infinite, or of a negative horizon) has null values, which the draw gate refuses."""
 
     def factor(key: tuple, cells: pd.DataFrame, cov: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values(["asset", "horizon"]).reset_index(drop=True)
@@ -112,10 +113,14 @@ def covariance_draws(moments: DataFrame, covariances: DataFrame, n_draws: int, s
                 a, b = sorted((cells.asset[i], cells.asset[j]))
                 s[i, j] = min(cells.horizon[i], cells.horizon[j]) * pair.get((a, b), 0.0)
         s += np.eye(k) * ridge
-        sd = np.sqrt(np.diag(s))  # factored as correlations, so that a wide asset leaves the others' digits alone
-        values, vectors = np.linalg.eigh(s / np.outer(sd, sd))
-        low = sd[:, None] * vectors * np.sqrt(np.maximum(values, 0))
-        return pd.DataFrame({"unit": key[0], "asset": cells.asset, "horizon": cells.horizon, "mean": cells.anchor + cells.horizon * cells.drift, "loads": list(low)})
+        if np.isfinite(s).all() and (np.diag(s) > 0).all():
+            sd = np.sqrt(np.diag(s))  # factored as correlations, so that a wide asset leaves the others' digits alone
+            values, vectors = np.linalg.eigh(s / np.outer(sd, sd))
+            low = sd[:, None] * vectors * np.sqrt(np.maximum(values, 0))
+        else:
+            low = np.full((k, k), np.nan)
+        loads = pd.Series(list(low), dtype=object)  # an empty list of arrays would count as numbers
+        return pd.DataFrame({"unit": key[0], "asset": cells.asset, "horizon": cells.horizon, "mean": cells.anchor + cells.horizon * cells.drift, "loads": loads})
 
     schema = "unit string, asset string, horizon int, mean double, loads array<double>"
     covariances = covariances.select(F.col("unit").alias("_unit"), "a", "b", "cov")  # both may come from one relation

@@ -157,6 +157,24 @@ def test_baseline_is_of_the_last_rows_before_the_as_of(spark, tmp_path):
         assert abs(got[asset].mean_value - (anchors[asset] + sign * 2)) < 0.4
 
 
+def test_baseline_of_cards_without_cells_or_finite_covariances(spark, tmp_path):
+    from quantloom.plans import sim_queries
+
+    def day(i):
+        return str(datetime.date(2020, 1, 1) + datetime.timedelta(i))
+
+    g10 = [("whole", a, day(i), 10.0 + i % 3 + (a == "B") * i) for a in "AB" for i in range(6)]
+    g10 += [("one step", a, day(i), 10.0 + i) for a in "AB" for i in range(2)] + [("no horizons", a, day(i), 10.0 + i) for a in "AB" for i in range(6)]
+    g10 += [("vast", a, day(i), 1e200 if i == 3 else 10.0 + i) for a in "AB" for i in range(6)]
+    cards = [("whole", "2021-01-01", [1, 5]), ("one step", "2021-01-01", [1]), ("no horizons", "2021-01-01", None), ("vast", "2021-01-01", [1])]
+    spark.createDataFrame(g10, "card_id string, asset string, date string, value double").write.parquet(f"{tmp_path}/g10_daily.parquet")
+    spark.createDataFrame(cards, "card_id string, asof string, horizons array<int>").write.parquet(f"{tmp_path}/task_cards.parquet")
+    got = {(r.unit, r.asset, r.horizon): r for r in sim_queries.m0_draws(spark, str(tmp_path)).collect()}
+    assert set(got) == {("whole", a, h) for a in "AB" for h in (1, 5)} | {("vast", a, 1) for a in "AB"}
+    for (unit, _, _), r in got.items():
+        assert r.n == 500 and (r.mean_value is None) == (r.sd_value is None) == (unit == "vast")
+
+
 def test_gaussian_floor(spark):
     p = spark.createDataFrame(_two_regimes(400, 320), "unit string, asset string, date date, value double")
     h = spark.createDataFrame([("c1", a, n) for a in "AB" for n in (4, 16)] + [("c1", "C", 4)], "unit string, asset string, horizon int")
