@@ -10,7 +10,8 @@ The number of draws of a cell is bounded by contract (20,000), and so are the pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.session import written
+
 CELL = ["unit", "asset", "horizon"]
 LEVELS = (0.01, 0.05, 0.95, 0.99)
 WEIGHTS = {"marginal": 0.5, "joint": 0.3, "tail": 0.2}
@@ -88,30 +91,108 @@ def variogram(draws: DataFrame, realized: DataFrame, p: float = 0.5) -> DataFram
     return draws.select("unit").distinct().join(per_unit, "unit", "left").select("unit", F.coalesce("joint", F.lit(0.0)).alias("joint"))
 
 
-def _energy(key: tuple, part: pa.Table) -> pa.Table:
-    """Sums over the pairs of two blocks of draws of a unit; a block with itself also sums the misses."""
-    unit, i, j = (k.as_py() for k in key)
-    block = part["block"].to_numpy()
-    x = np.array(part["x"].to_pylist(), float)
-    a, b = x[block == i], x[block == j]
-    d = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-    spread = float(np.sqrt(np.maximum(d, 0)).sum()) * (1 if i == j else 2)
-    miss = float(np.sqrt(((a - np.array(part["y"][0].as_py(), float)) ** 2).sum(1)).sum()) if i == j else 0.0
-    return pa.table({"unit": [unit], "n": pa.array([len(a) if i == j else 0], pa.int64()), "miss": [miss], "spread": [spread]})
-
-
-def energy(draws: DataFrame, realized: DataFrame, block: int = 2048) -> DataFrame:
+def _packed(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to a row a batch, cell and block of draws, its numbers as bytes: a shuffle of them moves little more than the values."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            draw, x, y = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("draw", "value", "y"))
+            code = draw // block - draw.min() // block
+            for k in CELL:
+                names = rows.column(k).dictionary_encode()
+                code = code * len(names.dictionary) + names.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            ends = [*np.flatnonzero(np.diff(code[order])) + 1, len(order)]
+            parts = [order[a:b] for a, b in zip([0, *ends], ends)]
+            heads = rows.take(pa.array([p[0] for p in parts]))
+            yield pa.RecordBatch.from_pydict({
+                **{k: heads.column(k) for k in CELL},
+                "block": pa.array([draw[p[0]] // block for p in parts], pa.int64()),
+                "draws": pa.array([(draw[p] % block).astype(np.int32).tobytes() for p in parts], pa.binary()),
+                "xs": pa.array([x[p].tobytes() for p in parts], pa.binary()),
+                "ys": pa.array([y[p].tobytes() for p in parts], pa.binary()),
+            })
+
+    return pack
+
+
+def _distances(a: np.ndarray, b: np.ndarray | None = None, tile: int = 256) -> float:
+    """The sum of the distances of all rows of ``a`` to all of ``b``, or, without ``b``, among themselves; by tiles that stay in the cache."""
+    other, centre = a if b is None else b, a.mean(0)
+    a, other = a - centre, other - centre
+    left = np.column_stack([a, (a**2).sum(1), np.ones(len(a))])
+    right = np.vstack([-2 * other.T, np.ones(len(other)), (other**2).sum(1)])
+    sums, room = [], np.empty(tile * tile)
+    for i in range(0, len(a), tile):
+        for j in range(0 if b is not None else i, len(other), tile):
+            p, q = left[i : i + tile], right[:, j : j + tile]
+            d = room[: len(p) * q.shape[1]].reshape(len(p), q.shape[1])
+            for least in (None, 0.0):  # rows that agree may come out below zero: only then are the squares bounded
+                np.matmul(p, q, out=d)
+                if least is not None:
+                    np.maximum(d, least, out=d)
+                if b is None and i == j:
+                    np.fill_diagonal(d, 0.0)
+                with np.errstate(invalid="ignore"):
+                    total = float(np.sqrt(d, out=d).sum())
+                if not np.isnan(total):
+                    break
+            sums.append(total * (2 if b is None and i != j else 1))
+    return math.fsum(sums)
+
+
+def _matrices(key: tuple, part: pa.Table) -> pa.Table:
+    """A block's draws as matrices, one for each number of cells that draws have, with the sums of its misses and distances."""
+    unit, block = (k.as_py() for k in key)
+    cells = list(zip(part["asset"].to_pylist(), part["horizon"].to_pylist()))
+    rank = {c: i for i, c in enumerate(sorted(set(cells)))}
+    draw, x, y = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in part[k]]) for k, kind in (("draws", np.int32), ("xs", float), ("ys", float)))
+    at = np.repeat([rank[c] for c in cells], [len(v.as_py()) // 4 for v in part["draws"]])
+    order = np.lexsort((y, x, at, draw))
+    x, y = x[order], y[order]
+    _, counts = np.unique(draw, return_counts=True)
+    of_row = np.repeat(counts, counts)
+    out = []
+    for k in np.unique(counts):
+        v, w = x[of_row == k].reshape(-1, k), y[of_row == k].reshape(-1, k)
+        out.append({"unit": unit, "block": block, "cells": int(k), "n": len(v), "miss": float(np.sqrt(((v - w) ** 2).sum(1)).sum()), "spread": _distances(v), "x": v.tobytes()})
+    return pa.Table.from_pylist(out, MATRICES)
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for pairs in batches:
+        sums = []
+        for k, a, b in zip(pairs.column("cells").to_pylist(), pairs.column("x"), pairs.column("x2")):
+            sums.append(2 * _distances(*(np.frombuffer(v.as_buffer(), float).reshape(-1, k) for v in (a, b))))
+        yield pa.RecordBatch.from_pydict({"unit": pairs.column("unit").cast(pa.string()), "spread": pa.array(sums, pa.float64())})
+
+
+MATRICES = pa.schema([("unit", pa.string()), ("block", pa.int64()), ("cells", pa.int32()), ("n", pa.int64()), ("miss", pa.float64()), ("spread", pa.float64()), ("x", pa.binary())])
+
+
+def energy(draws: DataFrame, realized: DataFrame, block: int = 32768) -> DataFrame:
     """(unit, n_draws, energy): E||X-y|| - E||X-X'||/2 over the draws that have every cell.
 
-    All pairs of a unit's draws count by definition. They are summed by pairs of blocks of ``block`` draws, spread over
-    the tasks, of which none sees more than two blocks.
+    All pairs of a unit's draws count by definition. Draws are laid out once, in matrices of ``block`` draws, and written to the
+    checkpoint folder; a unit of one matrix is done then. The matrices of larger units are paired by a Cartesian product, whose
+    tasks read them where they lie: nothing is copied for each pair, and no task holds more than its share of two matrices.
     """
-    rows = _matched(draws, realized).groupBy("unit", "draw").agg(F.sort_array(F.collect_list(F.struct("asset", "horizon", "value", "y"))).alias("c"))
-    rows = rows.select("unit", F.floor(F.col("draw") / block).alias("block"), F.transform("c", lambda c: c["value"]).alias("x"), F.transform("c", lambda c: c["y"]).alias("y"), F.size("c").alias("k"))
-    units = rows.groupBy("unit").agg(F.max("k").alias("most"), F.collect_set("block").alias("blocks"))
-    rows = rows.join(units, "unit").where("k = most").select("unit", "block", "x", "y", F.explode("blocks").alias("other"))
-    pairs = rows.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "x", "y")
-    sums = pairs.groupBy("unit", "i", "j").applyInArrow(_energy, "unit string, n bigint, miss double, spread double")
+    rows = _matched(draws, realized).where("draw is not null")
+    rows = rows.select(F.col("unit").cast("string"), F.col("asset").cast("string"), F.col("horizon").cast("long"), F.col("draw").cast("long"), F.col("value").cast("double"), F.col("y").cast("double"))
+    packs = rows.mapInArrow(_packed(block), "unit string, asset string, horizon long, block long, draws binary, xs binary, ys binary")
+    made = written(packs.groupBy("unit", "block").applyInArrow(_matrices, "unit string, block long, cells int, n long, miss double, spread double, x binary"))
+    units = made.groupBy("unit").agg(F.max("cells").alias("cells"))
+    whole = made.join(F.broadcast(units), ["unit", "cells"])
+    sums = whole.select("unit", "n", "miss", "spread")
+    several = whole.groupBy("unit").agg(F.count("*").alias("blocks")).where("blocks > 1").select("unit")
+    if not several.isEmpty():
+        large = whole.join(F.broadcast(several), "unit")
+        a, b = large.select("unit", "cells", "block", "x"), large.select(F.col("unit").alias("unit2"), F.col("block").alias("block2"), F.col("x").alias("x2"))
+        pairs = a.hint("shuffle_replicate_nl").join(b, F.expr("unit = unit2 and block < block2")).select("unit", "cells", "x", "x2")
+        between = pairs.mapInArrow(_between, "unit string, spread double")
+        sums = sums.unionByName(between.select("unit", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("miss"), "spread"))
     total = sums.groupBy("unit").agg(F.sum("n").alias("n_draws"), F.sum("miss").alias("miss"), F.sum("spread").alias("spread"))
     return total.select("unit", "n_draws", F.when(F.col("n_draws") > 0, F.col("miss") / F.col("n_draws") - F.col("spread") / (2 * F.col("n_draws") * F.col("n_draws"))).alias("energy"))
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.operators import grid, scores
 from quantloom.plans.verbs import score
@@ -94,3 +95,20 @@ def test_empty_draws(spark, data):
     _, _, draws, realized = data
     none = draws.limit(0)
     assert scores.crps(none, realized).count() == 0 and scores.tail_pinball(none, realized).count() == 0 and scores.energy(none, realized).count() == 0
+
+
+def test_energy_copies_no_draw_for_its_pairs(data):
+    """Many small blocks against all pairs at once; some draws lack a cell, and two agree."""
+    x, y, draws, realized = data
+    kept = draws.where("not (unit = 'u' and asset = 'B' and horizon = 5 and draw % 50 = 7)")
+    kept = kept.where("draw != 299").unionByName(kept.where("draw = 11").withColumn("draw", F.lit(1000)))
+    df = scores.energy(kept, realized, block=16)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "shuffle_replicate_nl" in plan
+    got = {r.unit: r for r in df.collect()}
+    for unit, lacking in (("u", range(7, 300, 50)), ("one", ())):
+        keys = [k for k in x if k[0] == unit]
+        m = np.stack([x[k] for k in keys], 1)
+        m = np.concatenate([np.delete(m, [*lacking, 299], axis=0), m[11:12]])
+        want = np.linalg.norm(m - np.array([y[k] for k in keys]), axis=1).mean() - np.linalg.norm(m[:, None] - m[None], axis=2).mean() / 2
+        assert got[unit].n_draws == len(m) and abs(got[unit].energy - want) < 1e-6
